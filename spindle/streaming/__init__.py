@@ -1,0 +1 @@
+"""The dialect has no streams; nothing is here."""
