@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, NameFault
-from ..functions.aggregates import aggregate
+from ..functions.aggregates import aggregate, mean_type, median_value
 from ..functions.compare import Operand, compare, constant, join_condition
 from ..functions.values import display
 from ..plans import ast
 from ..plans.predicates import Where, condition
 from ..plans.scope import Prefixes, Scope
 from ..sources.catalog import Table
+from .median import matched, medians
 
 
 @dataclass
@@ -137,15 +138,38 @@ class Planner:
     def _sort(column: Column, key: ast.OrderKey) -> Column:
         return column.desc_nulls_last() if key.descending else column.asc_nulls_last()
 
-    def _aggregate(self, node: ast.Aggregate, source: Source) -> Column:
-        operand = None if node.argument is None else source.scope.find(node.argument).operand
-        return aggregate(node.function, operand, source.external)
+    def _operand(self, node: ast.Aggregate, source: Source) -> Operand | None:
+        return None if node.argument is None else source.scope.find(node.argument).operand
+
+    def _aggregated(self, source: Source, ids: list[str], nodes: dict[object, str]) -> DataFrame:
+        """Groups by ``ids`` with each aggregate or ungrouped column under its name; medians are joined to the rest."""
+        columns, middles = [], []
+        for node, name in nodes.items():
+            if isinstance(node, ast.ColumnRef):
+                columns.append(self._first(node, source).alias(name))
+            elif node.function == "MEDIAN":
+                middles.append((self._operand(node, source), name))
+            else:
+                columns.append(aggregate(node.function, self._operand(node, source), source.external).alias(name))
+        values = [(median_value(operand), mean_type(operand), name) for operand, name in middles]
+        rows = source.rows
+        if not ids and middles:
+            ids, rows = ["_one"], rows.withColumn("_one", F.lit(1))
+        if ids == ["_one"]:  # one row even if there is nothing to aggregate
+            out = rows.agg(F.lit(1).alias("_one"), *columns, F.count(F.lit(1)).alias("_rows"))
+        elif ids:
+            out = rows.groupBy(*ids).agg(*columns) if columns else rows.select(*ids).distinct()
+        else:
+            out = rows.agg(*columns)
+        for value, kind, name in values:
+            out = matched(out, medians(rows, ids, value, name), ids, "_m", "left").withColumn(name, F.col(name).cast(kind))
+        return out
 
     def _global(self, query: ast.Select) -> Query:
         """One row; ORDER BY and LIMIT have no effect on it."""
         source = self.source(query)
-        columns = [self._aggregate(item, source).alias(f"a{k}") for k, item in enumerate(query.items)]
-        out = source.rows.agg(*columns).toDF(*(item.header for item in query.items))
+        nodes = {item: f"a{k}" for k, item in enumerate(dict.fromkeys(query.items))}
+        out = _project(self._aggregated(source, [], nodes), [(F.col(nodes[item]), item.header) for item in query.items])
         return Query(out, out)
 
     def _grouped(self, query: ast.Select) -> Query:
@@ -155,16 +179,13 @@ class Planner:
             raise EngineError("a grouped query orders by one key")
         source = self.source(query)
         groups = {ref.name: source.scope.find(ref).id for ref in reversed(query.group_by)}
-        columns: dict[object, Column] = {}
+        nodes: dict[object, str] = {}
 
         def named(node) -> str:
             """The output name of an aggregate or column after grouping."""
             if isinstance(node, ast.ColumnRef) and node.name in groups:
                 return groups[node.name]
-            if node not in columns:
-                made = self._aggregate(node, source) if isinstance(node, ast.Aggregate) else self._first(node, source)
-                columns[node] = made.alias(f"a{len(columns)}")
-            return f"a{list(columns).index(node)}"
+            return nodes.setdefault(node, f"a{len(nodes)}")
 
         picks = []
         for item in query.items:
@@ -188,7 +209,7 @@ class Planner:
                 raise EngineError(f"ORDER BY column '{k.key}' is not in GROUP BY")
             keys.append(self._sort(F.col(named(k.key)), k))
         ids = list(dict.fromkeys(source.scope.find(ref).id for ref in query.group_by))
-        rows = source.rows.groupBy(*ids).agg(*columns.values()) if columns else source.rows.select(*ids).distinct()
+        rows = self._aggregated(source, ids, nodes)
         if kept is not None:
             rows = rows.filter(kept)
         ties = [F.col(i).asc_nulls_first() for i in ids]
