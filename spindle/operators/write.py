@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConstraintFault, EngineError, NameFault, TypeFault
-from ..functions.values import fit, holds
+from ..errors import ConstraintFault, EngineError, TypeFault
+from ..functions.compare import Operand, compare, constant
+from ..functions.values import fit, holds, kind_of
 from ..plans import ast
 from ..plans.predicates import Where
 from ..plans.scope import Scope
@@ -146,11 +147,9 @@ class Writer:
                 wrong = wrong | F.coalesce(F.octet_length(c.name) > c.length, F.lit(False))
         if not rows.filter(wrong).isEmpty():
             raise TypeFault(f"a row does not fit the columns of '{table.name}'")
-        from ..functions.compare import Operand, compare, constant
-
         for column, op, value in table.checks:
             spec = table.column(column)
-            literal = ast.Literal(value, "NULL" if value is None else {bool: "BOOLEAN", int: "INT", float: "FLOAT", str: "VARCHAR"}[type(value)])
+            literal = ast.Literal(value, "NULL" if value is None else kind_of(value))
             holds_ = compare(Operand(F.col(column), spec.type), op, constant(literal))
             if not rows.filter(F.col(column).isNotNull() & ~F.coalesce(holds_, F.lit(False))).isEmpty():
                 raise ConstraintFault(f"CHECK fails: {column} {op} {value}")
