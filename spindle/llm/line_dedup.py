@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, scratch, table
+from .common import SPACE, ascii_lower, cut, scratch, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -40,16 +40,24 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def key_of(line: Column) -> Column:
-    """Two hashes of the stripped, lower-cased line; null if it is too short to be a key."""
-    key = ascii_lower(F.btrim(line, F.lit(SPACE)))
-    pair = F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
-    return F.when(F.length(key) >= MIN_CHARS, pair)
+def lower(line: Column) -> Column:
+    """A-Z lower-cased; the quick way where a line is ASCII and both ways agree."""
+    return F.when(F.octet_length(line) == F.length(line), F.lower(line)).otherwise(ascii_lower(line))
+
+
+def hashes_of(lines: Column) -> Column:
+    """For each line two hashes of it stripped and lower-cased, or null if it is too short to be a key.
+
+    Steps are arrays, one made of the other, so that each line is worked on once.
+    """
+    stripped = F.transform(lines, lambda x: F.btrim(x, F.lit(SPACE)))
+    keys = F.transform(stripped, lambda x: F.when(F.length(x) >= MIN_CHARS, lower(x)))
+    return F.transform(keys, lambda k: F.when(k.isNotNull(), F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2"))))
 
 
 def keys_of(docs: DataFrame) -> DataFrame:
     """doc_id, h1, h2: a row for each distinct key of each row of ``docs``."""
-    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), key_of), lambda k: k.isNotNull()))
+    keys = F.array_distinct(F.array_compact(hashes_of(lines_of(F.col("text")))))
     return docs.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.h1", "k.h2")
 
 
@@ -116,29 +124,32 @@ class LineRuns:
         return rows.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
 
 
-def batches(docs: DataFrame, n: int = BATCHES) -> list[DataFrame]:
-    """``docs`` by descending ranges of ``doc_id``, nulls in the last; every row is in one."""
-    at = docs.select(F.percentile_approx("doc_id", [k / n for k in range(n - 1, 0, -1)], 10_000)).head()[0] or []
+def batches(keys: DataFrame, n: int = BATCHES) -> list[DataFrame]:
+    """``keys`` by descending ranges of ``doc_id``, nulls in the last; every row is in one."""
+    at = keys.select(F.percentile_approx("doc_id", [k / n for k in range(n - 1, 0, -1)], 10_000)).head()[0] or []
     bounds = list(dict.fromkeys(at))
     c, out, above = F.col("doc_id"), [], None
     for b in bounds:
-        out.append(docs.filter(c > b if above is None else (c > b) & (c <= above)))
+        out.append(keys.filter(c > b if above is None else (c > b) & (c <= above)))
         above = b
-    return [*out, docs if above is None else docs.filter(c.isNull() | (c <= above))]
+    return [*out, keys if above is None else keys.filter(c.isNull() | (c <= above))]
 
 
 def dedup(docs: DataFrame, n_batches: int = BATCHES, fanout: int = FANOUT, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, text without the dropped lines."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keys = cut(spark, keys_of(docs), "keys")
     runs = LineRuns(spark, fanout=fanout)
-    for batch in batches(docs, n_batches):
-        runs.add(keys_of(batch))
+    for batch in batches(keys, n_batches):
+        runs.add(batch)
     # Which documents lose which keys; a document's list is no longer than its lines.
-    lost = keys_of(docs).join(runs.frequent(min_docs), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    lost = keys.join(runs.frequent(min_docs), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     lost = lost.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_lost"))
     rows = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_id"]), "left").withColumn("_lines", lines_of(F.col("text")))
-    kept = F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.coalesce(F.array_contains(F.col("_lost"), key_of(x)), F.lit(False))))
+    zipped = F.arrays_zip(F.col("_lines").alias("line"), hashes_of(F.col("_lines")).alias("h"))
+    stays = F.filter(zipped, lambda z: ~F.coalesce(F.array_contains(F.col("_lost"), z["h"]), F.lit(False)))
+    kept = F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(F.transform(stays, lambda z: z["line"]))
     rows = rows.withColumn("_kept", kept)
     return rows.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("text"))
 
