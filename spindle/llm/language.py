@@ -187,7 +187,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [text_counts(t.as_py()) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["at", "n", "lang", "h"])
+        packed = [pa.array([x[k].astype("<i4").tobytes() for x in found], pa.binary()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*packed, batch.column(1), batch.column(2)], names=["at", "n", "lang", "h"])
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -205,11 +206,11 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     for feature, n in counted.collect():
         frequency[feature] = n
     idf = np.log((1 + frequency[DIM]) / (1 + frequency[:DIM])) + 1
-    sample = chosen.mapInArrow(_features, "at array<int>, n array<int>, lang string, h double").collect()
+    sample = chosen.mapInArrow(_features, "at binary, n binary, lang string, h double").collect()
     sample.sort(key=lambda r: (r["h"], r["lang"]))
     vectors = []
     for r in sample:
-        at, n = np.array(r["at"], np.int64), np.array(r["n"], np.float64)
+        at, n = np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")
         vectors.append((at, n / n.sum() * idf[at] * SCALE, langs.index(r["lang"])))
     aside = vectors[:: 5] if len(vectors) >= 50 else []
     learnt = [v for i, v in enumerate(vectors) if not aside or i % 5]
