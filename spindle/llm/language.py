@@ -38,7 +38,8 @@ PER_LANG = 1500
 MAX_LANGS = 64
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
-MIN_SCORE = 0.5
+#: Below this a text is no more one language than another.
+MIN_SCORE = 0.35
 #: Code points handled at once.
 SLICE = 1 << 19
 
