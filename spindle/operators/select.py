@@ -13,6 +13,7 @@ from ..functions.aggregates import aggregate, mean_type, median_value
 from ..functions.compare import Operand, compare, constant, join_condition
 from ..functions.values import display
 from ..plans import ast
+from ..plans.parser import INT_MAX
 from ..plans.predicates import Where, condition
 from ..plans.scope import Prefixes, Scope
 from ..sources.catalog import Table
@@ -88,7 +89,7 @@ class Planner:
         source = self.source(query, outer)
         rows = source.rows
         if keep_limit and query.limit is not None:
-            rows = self._ordered(rows, source.order).limit(query.limit)
+            rows = self._ordered(rows, source.order).limit(min(query.limit, INT_MAX))
         return rows, source.scope
 
     @staticmethod
@@ -125,7 +126,7 @@ class Planner:
         elif ties:
             shown = rows.orderBy(*ties)
         if query.limit is not None:
-            rows, shown = rows.limit(query.limit), shown.limit(query.limit)
+            rows, shown = rows.limit(min(query.limit, INT_MAX)), shown.limit(min(query.limit, INT_MAX))
         return Query(_project(rows, picks), _project(shown, picks))
 
     @staticmethod
@@ -217,7 +218,7 @@ class Planner:
         if keys or query.limit is not None:
             rows = shown
         if query.limit is not None:
-            rows = shown = shown.limit(query.limit)
+            rows = shown = shown.limit(min(query.limit, INT_MAX))
         return Query(_project(rows, picks), _project(shown, picks))
 
     @staticmethod

@@ -35,7 +35,7 @@ def rows(e, sql):
 def test_refused_definitions(engine):
     good(engine, "CREATE TABLE p (id INT PRIMARY KEY, a INT, s VARCHAR(5) UNIQUE, UNIQUE (a, s))")
     bad(
-        engine, "CREATE TABLE p (id INT PRIMARY KEY)", "CREATE TABLE x (id INT)", "CREATE TABLE x (a INT PRIMARY KEY, b INT PRIMARY KEY)", "CREATE TABLE x (a INT PRIMARY KEY, PRIMARY KEY (a))",
+        engine, "CREATE TABLE p (id INT PRIMARY KEY)", "CREATE TABLE x (id INT)", "CREATE TABLE x (a INT PRIMARY KEY, a INT)", "CREATE TABLE x (a INT PRIMARY KEY, b INT PRIMARY KEY)", "CREATE TABLE x (a INT PRIMARY KEY, PRIMARY KEY (a))",
         "CREATE TABLE x (a INT, PRIMARY KEY (z))", "CREATE TABLE x (a INT PRIMARY KEY, UNIQUE (z))", "CREATE TABLE x (a INT PRIMARY KEY, CHECK (z > 1))", "CREATE TABLE x (a VARCHAR(0) PRIMARY KEY)",
         "CREATE TABLE x (a VARCHAR(3) PRIMARY KEY AUTO_INCREMENT)", "CREATE TABLE x (a INT PRIMARY KEY AUTO_INCREMENT DEFAULT 1)", "CREATE TABLE x (a INT PRIMARY KEY, f FLOAT DEFAULT 1)",
         "CREATE TABLE x (a INT PRIMARY KEY, b VARCHAR(2) DEFAULT 'abc')", "CREATE TABLE x (a INT PRIMARY KEY, CHECK (a > 1 OR a < 0))", "CREATE TABLE x (a INT PRIMARY KEY, CHECK (NOT a = 1))",
