@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,66 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+#: Bytes whose hashes are summed together, and the longest word that is summed byte by byte.
+SEGMENT = 1 << 20
+LONG_WORD = 4096
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits stirred."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return h ^ (h >> np.uint64(33))
+
+
+class Rolling:
+    """64-bit hashes of stretches of bytes, many at once.
+
+    A stretch's hash is the sum of its bytes' numbers times powers of an odd
+    base, by its own offsets: a difference of prefix sums, times the base's
+    inverse power at the start.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.of_byte = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        n = max(n, 2 * len(self.up))
+        powers = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]))
+        self.up, self.down = powers(self.BASE), powers(pow(self.BASE, -1, 1 << 64))
+
+    def stretches(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(data) >= len(self.up):
+            self._grow(len(data))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.of_byte[data] * self.up[: len(data)], out=total[1:])
+        return mixed((total[ends] - total[starts]) * self.down[starts])
+
+
+ROLLING = Rolling()
+
+
+def run_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """A hash of each run of ``size`` successive words in order; of fewer words, one of them all."""
+    joined = b" ".join(words)
+    if not joined:
+        return np.zeros(0, np.uint64)
+    if len(joined) > LONG_WORD and max(map(len, words)) > LONG_WORD:
+        words = [w if len(w) <= LONG_WORD else b"\0" + xxhash.xxh3_128_hexdigest(w).encode() for w in words]
+        joined = b" ".join(words)
+    out, step = [], max(1, len(words) * SEGMENT // len(joined))
+    for k in range(0, max(1, len(words) - size + 1), step):
+        data = np.frombuffer(joined if step >= len(words) else b" ".join(words[k : k + step + size - 1]), np.uint8)
+        blank = np.flatnonzero(data == 0x20)
+        starts, ends = np.concatenate([[0], blank + 1]), np.concatenate([blank, [len(data)]])
+        last = min(size, len(starts)) - 1
+        out.append(ROLLING.stretches(data, starts[: len(starts) - last], ends[last:]))
+    return np.concatenate(out)
+
+
 class HashMemo(dict):
     """word bytes -> 64-bit hash; forgets all when it holds ``limit`` words."""
 

@@ -24,7 +24,6 @@ empty corpus gives an empty result. Other columns are unused.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, HashMemo, cut, table
+from .common import WORD_BYTES, cut, run_hashes, table
 
 WINDOW = 13
 SHARD_WORDS = 500_000
@@ -57,9 +56,9 @@ class Phrases:
     """Distinct windows of one block of the benchmark, and the items of each."""
 
     def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
-        memo, found = HashMemo(), {}
+        found: dict[tuple, set] = {}
         for item, text in items:
-            h = [memo[w] for w in words(text)]
+            h = run_hashes(words(text), 1).tolist()
             for start in range(max(1, len(h) - size + 1) if h else 0):
                 found.setdefault(tuple(h[start : start + size]), set()).add(item)
         self.names = sorted({x for s in found.values() for x in s})
@@ -94,19 +93,10 @@ def bit_set(hashes: np.ndarray, bits: np.ndarray | None = None) -> np.ndarray:
     return packed if bits is None else bits | packed
 
 
-class Wanted(HashMemo):
-    """word -> its hash if the bit set has it, else 0."""
-
-    def __init__(self, bits: np.ndarray):
-        super().__init__()
-        self.bits = bits
-
-    def __missing__(self, word: bytes) -> int:
-        h = super().__missing__(word)
-        k = h >> (64 - VOCABULARY_BITS)
-        if not self.bits[k >> 3] >> (7 - (k & 7)) & 1:
-            self[word] = h = 0
-        return h
+def wanted(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """``hashes`` with 0 for those that the bit set lacks."""
+    k = (hashes >> np.uint64(64 - VOCABULARY_BITS)).astype(np.int64)
+    return np.where(bits[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1, hashes, np.uint64(0))
 
 
 def pack_postings(hashes: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
@@ -133,7 +123,6 @@ def build_index(docs: DataFrame, bits: np.ndarray, shard_words: int = SHARD_WORD
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Wanted(shared.value)
         ids, lens, hashes, held = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -147,10 +136,10 @@ def build_index(docs: DataFrame, bits: np.ndarray, shard_words: int = SHARD_WORD
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = words(text.as_py())
+                found = run_hashes(words(text.as_py()), 1)
                 ids.append(doc_id)
                 lens.append(len(found))
-                hashes.append(np.fromiter(map(memo.__getitem__, found), np.uint64, len(found)))
+                hashes.append(wanted(found, shared.value))
                 held += len(found) + 1
                 if held >= shard_words:
                     yield shard()
