@@ -165,6 +165,12 @@ def test_script_is_cut_at_semicolons():
     assert split_statements("a 'x;''y' -- z; w\n; b;;\n-- only a comment\n;c") == ["a 'x;''y' -- z; w", "b", "c"]
 
 
+def test_a_script_file_runs(engine, tmp_path):
+    (tmp_path / "s.sql").write_text("CREATE TABLE t (id INT PRIMARY KEY); -- one; two\nINSERT INTO t VALUES (1);\nINSERT INTO t VALUES (1);\nSELECT id FROM t")
+    results = engine.run_script(str(tmp_path / "s.sql"))
+    assert [r.success for r in results] == [True, True, False, True] and results[-1].rows() == [(1,)]
+
+
 def test_console(spark, tmp_path):
     out, settings = io.StringIO(), tmp_path / "settings"
     console = Console(Engine(spark, str(tmp_path / "one")), out, settings)
