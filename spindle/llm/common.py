@@ -110,17 +110,3 @@ def run_hashes(words: list[bytes], size: int) -> np.ndarray:
         last = min(size, len(starts)) - 1
         out.append(ROLLING.stretches(data, starts[: len(starts) - last], ends[last:]))
     return np.concatenate(out)
-
-
-class HashMemo(dict):
-    """word bytes -> 64-bit hash; forgets all when it holds ``limit`` words."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out

@@ -6,19 +6,21 @@ Documents with equal sets form a class, and only classes are joined.
 1. Every class names the least shingles of its set as its prefix: the smallest
    number that any set with Jaccard similarity 3/4 must share one of. The order
    is by hash, with shingles that many documents share put last; any common
-   order is right, this one keeps common passages out of the tiles.
+   order is right, this one keeps common passages out of the tiles. A shingle's
+   rank in the set bounds what can follow it, and drops rows of a tile early.
 2. A tile is the classes that name one shingle, sorted by set size. Sets of
    which the smaller has less than 3/4 of the larger's size are never compared.
 3. Each class has a bitmap that holds the parity of its hashes by position; the
    bits in which two bitmaps differ are at most the shingles in which the sets
    differ, so they bound the overlap from above. Bitmaps grow with the size band
-   (about a bit a shingle); the wider is folded onto the narrower.
+   (one to two bits a shingle); the wider is folded onto the narrower.
 4. What the bound leaves is decided by intersecting the sorted arrays.
 
 Copies in a tile are not expanded into pairs: first each class meets only the
 class before it and the tile's least one, and the links found are contracted
 to components. Then the tiles that still hold several components are compared
-in full, but only across components, in blocks of ``BLOCK`` rows.
+in full, but only across components, in blocks of ``BLOCK`` rows: once for the
+nearest pair between any two components, and after another contraction for all.
 
 Defined cases: a text of one to four words has its whole word sequence as the
 only shingle; texts without words and null texts have an empty set, link with
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HashMemo, cut, table
+from .common import cut, run_hashes, table
 from .graph import components
 
 SHINGLE = 5
@@ -50,28 +52,20 @@ MOST_COMMON = 1 << 21
 #: A shingle is common if it is in more than one of so many documents that a task sees together.
 COMMON_SHARE = 512
 SEEN = 1 << 18
+#: Of a class's tiles that are compared in full, so many tell where a pair meets first.
+FIRSTS = 8
 WANTED_BITS = 24
 
-FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Ascending; sorting is quicker here than hashing."""
+    h = np.sort(h)
+    return h if len(h) < 2 else h[np.concatenate([[True], h[1:] != h[:-1]])]
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
 
-
-def shingles(text: str | None, memo: HashMemo) -> np.ndarray:
+def shingles(text: str | None) -> np.ndarray:
     """The sorted set of a text. bytes.lower and bytes.split know ASCII alone, as the contract does."""
-    words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-    w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    if not len(w):
-        return w
-    size = min(SHINGLE, len(w))
-    h = w[: len(w) - size + 1] * FACTORS[0]
-    for k in range(1, size):
-        h = h + w[k : len(w) - size + 1 + k] * FACTORS[k]
-    return np.unique(mixed(h + np.uint64(size)))
+    return distinct(run_hashes([] if text is None else text.encode("utf-8", "surrogatepass").lower().split(), SHINGLE))
 
 
 def class_of(s: np.ndarray) -> int:
@@ -80,8 +74,8 @@ def class_of(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the hashes at each of 64 to 16,384 positions, about one a shingle."""
-    width = min(max(6, int(len(s) - 1).bit_length()), 14)
+    """Parity of the hashes at each of 64 to 32,768 positions, one to two a shingle."""
+    width = min(max(6, int(len(s) - 1).bit_length()), 15)
     n = np.bincount((s >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width) & 1
     return np.packbits(n.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -124,10 +118,12 @@ class Once(set):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: each document's class and, once a task, its bitmap. kind 1: common shingles (c) with counts (n)."""
-    memo, once, held, size = HashMemo(), Once(), [], 0
+    once, held, size = Once(), [], 0
 
     def common() -> pa.RecordBatch:
-        at, n = np.unique(np.concatenate(held), return_counts=True)
+        every = np.sort(np.concatenate(held))
+        turns = np.concatenate([np.flatnonzero(np.diff(every)) + 1, [len(every)]])
+        at, n = every[turns - 1], np.diff(turns, prepend=0)
         many = n > max(3, len(held) // COMMON_SHARE)
         at, n = at[many].view(np.int64), n[many]
         none = pa.nulls(len(at))
@@ -136,7 +132,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ns, cs, maps = [], [], []
         for text in batch.column(1):
-            s = shingles(text.as_py(), memo)
+            s = shingles(text.as_py())
             c = class_of(s)
             ns.append(len(s))
             cs.append(c)
@@ -152,21 +148,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield common()
 
 
-PREFIX = pa.schema([("c", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+PREFIX = pa.schema([("c", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
 
 def prefixes(docs: DataFrame, common) -> DataFrame:
-    """c, n, pos, tok: the prefix of each class, at least once for each class.
+    """tok, c, place: the prefix of each class, at least once for each class.
+
+    place is twice the set's size, and one more if the shingle stands behind the set's first seventh.
 
     common: broadcast ascending array of the shingles that come last.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, once, last = HashMemo(), Once(), common.value
+        once, last = Once(), common.value
         for batch in batches:
             cs, ns, out = [], [], []
             for text in batch.column(1):
-                s = shingles(text.as_py(), memo)
+                s = shingles(text.as_py())
                 if len(s) and once.new(c := class_of(s)):
                     k = prefix_size(len(s))
                     if len(last):
@@ -179,25 +177,26 @@ def prefixes(docs: DataFrame, common) -> DataFrame:
                     cs.append(c)
                     ns.append(len(s))
                     out.append(head.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ns, pa.int32()), pa.array(out, pa.list_(pa.int64()))], schema=PREFIX)
+            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), pa.array(out, pa.list_(pa.int64()))], schema=PREFIX)
 
-    lists = docs.mapInArrow(run, "c long, n int, prefix array<long>")
-    return lists.select("c", "n", F.posexplode("prefix").alias("pos", "tok"))
+    lists = docs.mapInArrow(run, "c long, n long, prefix array<long>")
+    each = lists.select("c", "n", F.posexplode("prefix").alias("pos", "tok"))
+    return each.selectExpr("tok", "c", "2 * n + int(7 * pos > n) AS place")
 
 
 def arrays(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """c, items: the sorted arrays of the wanted classes (a packed bit set over classes; it may let others by)."""
+    """c, items: the sorted arrays of the texts whose key a packed bit set has (it may let others by)."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, once, bits = HashMemo(), Once(), shared.value
+        once, bits = Once(), shared.value
         for batch in batches:
+            keys = batch.column(2).to_numpy() & ((1 << WANTED_BITS) - 1)
+            hit = bits[keys >> 5] >> (keys & 31).astype(np.uint32) & np.uint32(1)
             cs, out = [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py(), memo)
-                c = class_of(s)
-                k = c & ((1 << WANTED_BITS) - 1)
-                if len(s) and bits[k >> 5] >> np.uint32(k & 31) & np.uint32(1) and once.new(c):
+            for i in np.flatnonzero(hit):
+                s = shingles(batch.column(1)[i].as_py())
+                if len(s) and once.new(c := class_of(s)):
                     cs.append(c)
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(out, pa.binary())], names=["c", "items"])
@@ -205,10 +204,10 @@ def arrays(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "c long, items binary")
 
 
-def wanted_bits(classes: DataFrame) -> np.ndarray:
-    """The bit set of the table's classes: 2**WANTED_BITS bits however many there are."""
-    k = F.col("c").bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
-    words = classes.select(k.alias("k")).selectExpr("shiftright(k, 5) AS w", "shiftleft(1L, int(k & 31)) AS b")
+def wanted_bits(keys: DataFrame) -> np.ndarray:
+    """The bit set of the text keys: 2**WANTED_BITS bits however many there are."""
+    k = F.col("text_key").bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
+    words = keys.select(k.alias("k")).selectExpr("shiftright(k, 5) AS w", "shiftleft(1L, int(k & 31)) AS b")
     out = np.zeros(1 << (WANTED_BITS - 5), np.uint32)
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).astype(np.uint32)
@@ -218,10 +217,14 @@ def wanted_bits(classes: DataFrame) -> np.ndarray:
 # ---- comparing ----
 
 
-def maybe(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """Whether pairs (row by row, broadcast) may be similar: 7 times the differing bits at most both sizes."""
-    differ = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
-    return (7 * differ <= nx + ny) & (4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny))
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which bitmaps differ, row by row, broadcast."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def may_be(apart: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes may be similar: 7 times the differing bits at most both sizes."""
+    return (7 * apart <= nx + ny) & (4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny))
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +238,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x = fold(x)
             while len(y) > len(x):
                 y = fold(y)
-            keep[i] = maybe(x, y, na[i], nb[i])
+            keep[i] = may_be(differing(x, y), na[i], nb[i])
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
@@ -253,47 +256,81 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
 
 
-def cross(c: np.ndarray, n: np.ndarray, comp: np.ndarray, maps: list[bytes], block: np.ndarray, one: int, two: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a tile's rows, of other components each, that the bounds leave: within block one, or of blocks one and two."""
-    left, right = [], []
-    width = np.array([len(m) for m in maps])
-    for w in np.unique(width):
-        mine = np.flatnonzero(width == w)
-        x = np.frombuffer(b"".join(maps[i] for i in mine), np.uint64).reshape(len(mine), -1)
-        for v in (w, 2 * w):
-            theirs = np.flatnonzero(width == v)
-            if not len(theirs):
-                continue
-            y = x if v == w else fold(np.frombuffer(b"".join(maps[i] for i in theirs), np.uint64).reshape(len(theirs), -1))
-            step = max(1, (1 << 21) // (y.size + 1))
-            for s in range(0, len(mine), step):
-                i = mine[s : s + step]
-                ok = (comp[i][:, None] != comp[theirs]) & maybe(x[s : s + step][:, None], y[None], n[i][:, None], n[theirs][None])
-                if v == w:
-                    ok &= i[:, None] < theirs
-                if one != two:
-                    ok &= block[i][:, None] != block[theirs]
-                p, q = np.nonzero(ok)
-                left.append(c[i[p]])
-                right.append(c[theirs[q]])
-    return (np.concatenate(left), np.concatenate(right)) if left else (c[:0], c[:0])
-
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tok, one, two, block, c, n, comp, bitmap) sorted by the first three: surviving pairs (a, b) of each tile."""
+class Tile:
+    """Rows of one tile, or of two of its blocks, sorted by size."""
+
+    def __init__(self, rows: pa.Table):
+        self.tok, self.one, self.two = (rows.column(k)[0].as_py() for k in range(3))
+        self.block, self.c, self.n, self.comp = (rows.column(k).to_numpy() for k in range(3, 7))
+        self.maps = rows.column(7).to_pylist()
+        self.firsts = np.full((rows.num_rows, FIRSTS), self.tok, np.int64)
+        for i, firsts in enumerate(rows.column(8).to_pylist()):
+            self.firsts[i, : len(firsts)] = firsts
+
+    def pairs(self, one_each: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of classes, of other components each, that the bounds leave and that meet in no earlier tile.
+
+        one_each: of the pairs between two components only the one with the fewest differing bits.
+        """
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        width = np.array([len(m) for m in self.maps])
+        for w in np.unique(width):
+            mine = np.flatnonzero(width == w)
+            x = self._bits(mine)
+            for v in (w, 2 * w):
+                theirs = np.flatnonzero(width == v)
+                if not len(theirs):
+                    continue
+                y = x if v == w else fold(self._bits(theirs))
+                step = max(1, (1 << 20) // y.size)
+                for s in range(0, len(mine), step):
+                    i = mine[s : s + step]
+                    apart = differing(x[s : s + step][:, None], y[None])
+                    ok = (self.comp[i][:, None] != self.comp[theirs]) & may_be(apart, self.n[i][:, None], self.n[theirs][None])
+                    if v == w:
+                        ok &= i[:, None] < theirs
+                    if self.one != self.two:
+                        ok &= self.block[i][:, None] != self.block[theirs]
+                    p, q = np.nonzero(ok)
+                    found += self._first_met(i[p], theirs[q], apart[p, q])
+        p, q, apart = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        if one_each and len(p):
+            low, high = np.minimum(self.comp[p], self.comp[q]), np.maximum(self.comp[p], self.comp[q])
+            order = np.lexsort((apart, high, low))
+            turns = (np.diff(low[order], prepend=low[order[0]] ^ 1) != 0) | (np.diff(high[order], prepend=0) != 0)
+            turns[0] = True
+            p, q = p[order[turns]], q[order[turns]]
+        return self.c[p], self.c[q]
+
+    def _bits(self, rows: np.ndarray) -> np.ndarray:
+        return np.frombuffer(b"".join(self.maps[i] for i in rows), np.uint64).reshape(len(rows), -1)
+
+    def _first_met(self, p: np.ndarray, q: np.ndarray, apart: np.ndarray) -> list:
+        out = []
+        for s in range(0, len(p), 1 << 16):
+            i, j, d = p[s : s + (1 << 16)], q[s : s + (1 << 16)], apart[s : s + (1 << 16)]
+            met = ((self.firsts[i][:, :, None] == self.firsts[j][:, None, :]) & (self.firsts[i] < self.tok)[:, :, None]).any(axis=(1, 2))
+            out.append((i[~met], j[~met], d[~met]))
+        return out
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], one_each: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (tok, one, two, block, c, n, comp, bitmap, firsts) sorted by the first three: surviving pairs (a, b) of each tile."""
     rest: pa.Table | None = None
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         if t.num_rows < 2:
             return
-        tok, one, two, block, c, n, comp = (t.column(k).to_numpy() for k in range(7))
-        maps = t.column(7).to_pylist()
-        turns = np.flatnonzero((np.diff(tok) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)) + 1
-        for s, e in zip(np.concatenate([[0], turns]), np.concatenate([turns, [len(tok)]]), strict=True):
+        key = [t.column(k).to_numpy() for k in range(3)]
+        turns = np.flatnonzero(np.logical_or.reduce([np.diff(k) != 0 for k in key])) + 1
+        left, right = [], []
+        for s, e in zip([0, *turns.tolist()], [*turns.tolist(), t.num_rows], strict=True):
             if e - s > 1:
-                a, b = cross(c[s:e], n[s:e], comp[s:e], maps[s:e], block[s:e], one[s], two[s])
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                a, b = Tile(t.slice(s, e - s)).pairs(one_each)
+                left.append(np.minimum(a, b))
+                right.append(np.maximum(a, b))
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -327,7 +364,7 @@ def join(docs: DataFrame, block: int = BLOCK) -> Join:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
     sets = cut(spark, source.mapInArrow(_sets, SETS), "sets")
     documents = sets.filter("kind = 0").drop("kind", "bitmap")
-    reps = sets.filter("kind = 0 AND n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.max("bitmap").alias("bitmap"))
+    reps = sets.filter("kind = 0 AND n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.min("text_key").alias("text_key"), F.max("bitmap").alias("bitmap"))
     reps = cut(spark, reps, "classes")
     counts = sets.filter("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(MOST_COMMON)
     common = np.sort(counts.select("c").toPandas()["c"].to_numpy(np.int64).view(np.uint64))
@@ -336,50 +373,75 @@ def join(docs: DataFrame, block: int = BLOCK) -> Join:
     met = tiles.select("c", "n", F.explode(F.array("before", "least")).alias("o")).filter("o.c <> c AND 4 * least(n, o.n) >= 3 * greatest(n, o.n)")
     met = cut(spark, met.select(F.least("c", "o.c").alias("a"), F.greatest("c", "o.c").alias("b")).distinct(), "met")
     bounded = cut(spark, _bound(met, reps), "bounded")
-    links = cut(spark, _verify(source, bounded), "links")
+    links = cut(spark, _verify(source, bounded, reps), "links")
     found = components(spark, links)
-    # Tiles that still hold several components.
-    named = tiles.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c"))
-    whole = Window.partitionBy("tok")
-    mixed_ = named.withColumn("_low", F.min("comp").over(whole)).withColumn("_high", F.max("comp").over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole)).filter("_low <> _high AND _n > 2")
-    ranked = mixed_.withColumn("block", F.floor((F.row_number().over(whole.orderBy("n", "c")) - 1) / block)).withColumn("_last", F.floor((F.col("_n") - 1) / block))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))
-    split = ranked.withColumn("_other", other).withColumn("one", F.least("block", "_other")).withColumn("two", F.greatest("block", "_other"))
-    split = split.join(reps.select("c", "bitmap"), "c").select("tok", "one", "two", "block", "c", F.col("n").cast("long").alias("n"), "comp", "bitmap")
-    ordered = split.repartition("tok", "one", "two").sortWithinPartitions("tok", "one", "two", "n", "c")
-    more = ordered.mapInArrow(_tiles, "a long, b long").distinct().join(met, ["a", "b"], "left_anti")
-    late = cut(spark, _verify(source, cut(spark, more, "more")), "links")
-    if not late.isEmpty():
-        links = links.unionByName(late)
-        found = components(spark, links)
+    # Tiles that still hold several components: first the nearest pair between any two of
+    # them, which contracts most, then all that is left.
+    for compare in (_nearest, _tiles):
+        more = _mixed(spark, tiles, found, reps, block).mapInArrow(compare, "a long, b long").distinct().join(met, ["a", "b"], "left_anti")
+        more = cut(spark, more, "more")
+        late = cut(spark, _verify(source, more, reps), "links")
+        met = met.unionByName(more)
+        if not late.isEmpty():
+            links = links.unionByName(late)
+            found = components(spark, links)
     named = reps.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", "rep", F.coalesce("component", "c").alias("_comp"))
     least = named.groupBy("_comp").agg(F.min("rep").alias("component"))
     return Join(documents, links, named.join(least, "_comp").select("c", "rep", "component"))
 
 
+def _mixed(spark: SparkSession, tiles: DataFrame, found: DataFrame, reps: DataFrame, block: int) -> DataFrame:
+    """Rows of the tiles of three classes or more that hold several components, dealt for ``_tiles``."""
+    named = tiles.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c"))
+    whole = Window.partitionBy("tok")
+    rows = named.withColumn("_low", F.min("comp").over(whole)).withColumn("_high", F.max("comp").over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole)).filter("_low <> _high AND _n > 2")
+    ranked = rows.withColumn("block", F.floor((F.row_number().over(whole.orderBy("n", "c")) - 1) / block)).withColumn("_last", F.floor((F.col("_n") - 1) / block))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))
+    split = ranked.select("tok", "c", "n", "comp", "block", "_last").withColumn("_other", other).withColumn("one", F.least("block", "_other")).withColumn("two", F.greatest("block", "_other"))
+    split = cut(spark, split, "mixed")
+    firsts = split.groupBy("c").agg(F.slice(F.array_sort(F.collect_set("tok")), 1, FIRSTS).alias("firsts"))
+    signed = reps.select("c", "bitmap").join(firsts, "c")
+    split = split.join(signed, "c").select("tok", "one", "two", "block", "c", "n", "comp", "bitmap", "firsts")
+    return split.repartition("tok", "one", "two").sortWithinPartitions("tok", "one", "two", "n", "c")
+
+
 def _tile_rows(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """tok, c, n, before, least of the tiles with two classes or more."""
-    by_size = Window.partitionBy("tok").orderBy("n", "c")
+    """tok, c, n, before, least of the rows that may have a similar one in their tile.
+
+    Where a pair's first common shingle stands, the smaller set has ranked at
+    most a seventh of itself; a row stays if it is such a one and the next set
+    is not too large, or if there is such a one before it that is not too small.
+    """
+    by_size = Window.partitionBy("tok").orderBy("place", "c")
+    rows = rows.withColumn("n", F.shiftright("place", 1))
+    early = F.col("place") == 2 * F.col("n")
+    smaller = F.max(F.when(early, F.col("n"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    larger = F.lead("n").over(by_size)
+    kept = rows.withColumn("_smaller", smaller).withColumn("_larger", larger).filter((4 * F.col("_smaller") >= 3 * F.col("n")) | (early & (3 * F.col("_larger") <= 4 * F.col("n"))))
     whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     me = F.struct("c", "n")
-    out = rows.withColumn("before", F.lag(me).over(by_size)).withColumn("least", F.min(me).over(whole)).withColumn("_most", F.max("c").over(whole))
+    out = kept.withColumn("before", F.lag(me).over(by_size)).withColumn("least", F.min(me).over(whole)).withColumn("_most", F.max("c").over(whole))
     return cut(spark, out.filter("least.c <> _most").select("tok", "c", "n", "before", "least"), "tiles")
 
 
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _tiles(batches, one_each=True)
+
+
 def _bound(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     x = reps.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("xa"))
     y = reps.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("xb"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded, "a long, b long")
 
 
-def _verify(source: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that are similar in truth."""
+def _verify(source: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs that are similar in truth. Of each class one text is read again."""
     spark = source.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("c"))
-    bits = wanted_bits(ends)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    bits = wanted_bits(reps.join(ends, "c", "left_semi"))
     if not bits.any():
         return spark.createDataFrame([], "a long, b long, similarity double")
-    items = arrays(source, bits).join(ends.distinct(), "c", "left_semi").groupBy("c").agg(F.first("items").alias("items"))
+    items = arrays(source, bits).join(ends, "c", "left_semi").groupBy("c").agg(F.first("items").alias("items"))
     items = cut(spark, items, "arrays")
     x = items.select(F.col("c").alias("a"), F.col("items").alias("xa"))
     y = items.select(F.col("c").alias("b"), F.col("items").alias("xb"))
