@@ -27,8 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder that the cluster names; it goes when the application ends.
 
     ``spark.checkpoint.dir`` is read from the session; only where it is unset
     (tests on one machine) a temporary folder takes its place.
@@ -37,7 +37,18 @@ def scratch(spark: SparkSession, label: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="spindle-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/spindle-{label}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/spindle-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return folder
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
