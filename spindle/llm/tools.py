@@ -66,12 +66,16 @@ def validate(name: Column, arguments: Column, schemas: dict = SCHEMAS) -> Column
     return F.array_compact(F.array(*errors))
 
 
+def same_call(conv: str, call: str) -> Column:
+    """Join condition on conversation and identifier. It is written alike everywhere, so that joins share a partitioning."""
+    return F.col("conv_id").eqNullSafe(F.col(conv)) & F.col("call_id").eqNullSafe(F.col(call))
+
+
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     """calls with ``result`` and ``n_results``; hash join on conversation and identifier."""
     met = results.filter("call_id IS NOT NULL").groupBy(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"))
     met = met.agg(F.min_by("content", F.struct("turn", "content")).alias("result"), F.count(F.lit(1)).alias("n_results"))
-    on = calls["conv_id"].eqNullSafe(F.col("_conv")) & (calls["call_id"] == F.col("_call"))
-    return calls.join(met.hint("shuffle_hash"), on, "left").drop("_conv", "_call").withColumn("n_results", F.coalesce("n_results", F.lit(0).cast("long")))
+    return calls.join(met.hint("shuffle_hash"), same_call("_conv", "_call"), "left").drop("_conv", "_call").withColumn("n_results", F.coalesce("n_results", F.lit(0).cast("long")))
 
 
 def ranks(spark: SparkSession, calls: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -128,22 +132,27 @@ def format_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS)
     results: conv_id, call_id, turn, content.
     """
     spark = calls.sparkSession
-    known = calls.select("conv_id", "call_id", "turn", "name", "arguments", "depends_on")
-    order = ranks(spark, known)
-    linked = link(known, results)
-    on = linked["conv_id"].eqNullSafe(F.col("_conv")) & (linked["call_id"] == F.col("_call"))
-    ranked = linked.join(order, on, "left").drop("_conv", "_call").withColumn("ordered", F.coalesce("ordered", F.lit(False))).withColumn("rank", F.coalesce("rank", "turn", F.lit(0)))
-    asked = known.select(F.col("conv_id").alias("_mc"), F.col("call_id").alias("_mk"), F.explode("depends_on").alias("_dep")).distinct()
-    there = known.select(F.col("conv_id").alias("_tc"), F.col("call_id").alias("_tk")).distinct()
-    absent = asked.join(there, F.col("_mc").eqNullSafe(F.col("_tc")) & (F.col("_dep") == F.col("_tk")), "left_anti").groupBy("_mc", "_mk").agg(F.array_sort(F.collect_set("_dep")).alias("_absent"))
-    ranked = ranked.join(absent, F.col("conv_id").eqNullSafe(F.col("_mc")) & (F.col("call_id") == F.col("_mk")), "left").drop("_mc", "_mk")
+    # Order and dependencies go by identifiers alone; the texts are dealt once, for the link.
+    known = cut(spark, calls.select("conv_id", "call_id", "turn", "name", "arguments", "depends_on"), "calls").withColumn("_row", F.monotonically_increasing_id())
+    places = placed(spark, known.select("conv_id", "call_id", "turn", "depends_on", "_row"))
+    places = places.select(F.col("conv_id").alias("_pc"), F.col("call_id").alias("_pk"), F.col("_row").alias("_place"), "position", "ordered", "_absent")
+    rows = link(known, results).join(places, same_call("_pc", "_pk") & (F.col("_row") - F.col("_place") == 0))
     lacking = F.when(F.col("_absent").isNotNull(), F.array(F.concat(F.lit("unknown dependency: "), F.array_join("_absent", ",")))).otherwise(F.array().cast("array<string>"))
-    errors = F.concat(validate(F.col("name"), F.col("arguments"), schemas), lacking)
-    rows = positions(ranked.withColumn("errors", errors).drop("_absent"))
+    rows = rows.withColumn("errors", F.concat(validate(F.col("name"), F.col("arguments"), schemas), lacking))
     text = canonical_json(F.col("call_id"), F.col("name"), F.col("arguments"), F.col("result"), F.col("errors"))
     return rows.select("conv_id", "call_id", F.col("position").cast("long").alias("position"), "ordered", "n_results", "errors", text.alias("json"))
 
 
+def placed(spark: SparkSession, calls: DataFrame) -> DataFrame:
+    """calls with ``position``, ``ordered`` and ``_absent``: the dependencies that no call of the conversation has."""
+    order = ranks(spark, calls)
+    ranked = calls.join(order, same_call("_conv", "_call"), "left").drop("_conv", "_call").withColumn("ordered", F.coalesce("ordered", F.lit(False))).withColumn("rank", F.coalesce("rank", "turn", F.lit(0)))
+    asked = calls.select(F.col("conv_id").alias("_mc"), F.col("call_id").alias("_mk"), F.explode("depends_on").alias("_dep")).distinct()
+    there = calls.select(F.col("conv_id").alias("_tc"), F.col("call_id").alias("_tk")).distinct()
+    absent = asked.join(there, F.col("_mc").eqNullSafe(F.col("_tc")) & (F.col("_dep") == F.col("_tk")), "left_anti").groupBy("_mc", "_mk").agg(F.array_sort(F.collect_set("_dep")).alias("_absent"))
+    return positions(ranked.join(absent, same_call("_mc", "_mk"), "left").drop("_mc", "_mk"))
+
+
 def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tool calls and results read out of plain conversations.
 
