@@ -377,8 +377,11 @@ def join(docs: DataFrame, block: int = BLOCK) -> Join:
     found = components(spark, links)
     # Tiles that still hold several components: first the nearest pair between any two of
     # them, which contracts most, then all that is left.
+    rows = tiles
     for compare in (_nearest, _tiles):
-        more = _mixed(spark, tiles, found, reps, block).mapInArrow(compare, "a long, b long").distinct().join(met, ["a", "b"], "left_anti")
+        held = cut(spark, _mixed(rows, found, block), "mixed")
+        rows = held.filter("one = block AND two = block")  # tiles only ever become less mixed
+        more = _dealt(held, reps).mapInArrow(compare, "a long, b long").distinct().join(met, ["a", "b"], "left_anti")
         more = cut(spark, more, "more")
         late = cut(spark, _verify(source, more, reps), "links")
         met = met.unionByName(more)
@@ -390,19 +393,26 @@ def join(docs: DataFrame, block: int = BLOCK) -> Join:
     return Join(documents, links, named.join(least, "_comp").select("c", "rep", "component"))
 
 
-def _mixed(spark: SparkSession, tiles: DataFrame, found: DataFrame, reps: DataFrame, block: int) -> DataFrame:
-    """Rows of the tiles of three classes or more that hold several components, dealt for ``_tiles``."""
-    named = tiles.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c"))
+def _mixed(tiles: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """tok, one, two, block, c, n, comp: rows of the tiles of three classes or more that hold several components.
+
+    Each pair of a tile's blocks (one, two) has the rows of both.
+    """
+    named = tiles.select("tok", "c", "n").join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c"))
     whole = Window.partitionBy("tok")
     rows = named.withColumn("_low", F.min("comp").over(whole)).withColumn("_high", F.max("comp").over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole)).filter("_low <> _high AND _n > 2")
     ranked = rows.withColumn("block", F.floor((F.row_number().over(whole.orderBy("n", "c")) - 1) / block)).withColumn("_last", F.floor((F.col("_n") - 1) / block))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))
-    split = ranked.select("tok", "c", "n", "comp", "block", "_last").withColumn("_other", other).withColumn("one", F.least("block", "_other")).withColumn("two", F.greatest("block", "_other"))
-    split = cut(spark, split, "mixed")
-    firsts = split.groupBy("c").agg(F.slice(F.array_sort(F.collect_set("tok")), 1, FIRSTS).alias("firsts"))
+    split = ranked.select("tok", "c", "n", "comp", "block", "_last").withColumn("_other", other)
+    return split.select("tok", F.least("block", "_other").alias("one"), F.greatest("block", "_other").alias("two"), "block", "c", "n", "comp")
+
+
+def _dealt(held: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of ``_mixed`` with bitmaps and first tiles, each tile's together."""
+    firsts = held.groupBy("c").agg(F.slice(F.array_sort(F.collect_set("tok")), 1, FIRSTS).alias("firsts"))
     signed = reps.select("c", "bitmap").join(firsts, "c")
-    split = split.join(signed, "c").select("tok", "one", "two", "block", "c", "n", "comp", "bitmap", "firsts")
-    return split.repartition("tok", "one", "two").sortWithinPartitions("tok", "one", "two", "n", "c")
+    rows = held.join(signed, "c").select("tok", "one", "two", "block", "c", "n", "comp", "bitmap", "firsts")
+    return rows.repartition("tok", "one", "two").sortWithinPartitions("tok", "one", "two", "n", "c")
 
 
 def _tile_rows(spark: SparkSession, rows: DataFrame) -> DataFrame:
