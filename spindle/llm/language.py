@@ -127,8 +127,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """FTRL-proximal over rows (features, values, language): weights and bias.
+def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, scale: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+    """FTRL-proximal over rows (features, shares, language), a share times its feature's scale: weights and bias.
 
     A weight is 0 while its summed gradients stay within L1.
     """
@@ -140,8 +140,8 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, epo
 
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(rows)):
-            at, x, y = rows[i]
-            at, x = np.append(at, DIM), np.append(x, 1.0)
+            at, share, y = rows[i]
+            at, x = np.append(at.astype(np.int64), DIM), np.append(share * scale[at], 1.0)
             w = weights(at)
             p = softmax(x @ w)
             p[y] -= 1
@@ -188,8 +188,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [text_counts(t.as_py()) for t in batch.column(0)]
-        packed = [pa.array([x[k].astype("<i4").tobytes() for x in found], pa.binary()) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*packed, batch.column(1), batch.column(2)], names=["at", "n", "lang", "h"])
+        at = pa.array([a.astype("<u2").tobytes() for a, _ in found], pa.binary())
+        share = pa.array([(n / n.sum()).astype("<f4").tobytes() for _, n in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([at, share, batch.column(1), batch.column(2)], names=["at", "share", "lang", "h"])
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -207,16 +208,14 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     for feature, n in counted.collect():
         frequency[feature] = n
     idf = np.log((1 + frequency[DIM]) / (1 + frequency[:DIM])) + 1
-    sample = chosen.mapInArrow(_features, "at binary, n binary, lang string, h double").collect()
+    sample = chosen.mapInArrow(_features, "at binary, share binary, lang string, h double").collect()
     sample.sort(key=lambda r: (r["h"], r["lang"]))
-    vectors = []
-    for r in sample:
-        at, n = np.frombuffer(r["at"], "<i4"), np.frombuffer(r["n"], "<i4")
-        vectors.append((at, n / n.sum() * idf[at] * SCALE, langs.index(r["lang"])))
-    aside = vectors[:: 5] if len(vectors) >= 50 else []
+    vectors = [(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["share"], "<f4"), langs.index(r["lang"])) for r in sample]
+    scale = idf * SCALE
+    aside = vectors[::5] if len(vectors) >= 50 else []
     learnt = [v for i, v in enumerate(vectors) if not aside or i % 5]
-    weights, bias = train_ftrl(learnt, len(langs))
-    logits = np.array([x @ weights[at] + bias for at, x, _ in aside])
+    weights, bias = train_ftrl(learnt, len(langs), scale)
+    logits = np.array([(share * scale[at]) @ weights[at] + bias for at, share, _ in aside])
     temperature = fit_temperature(logits, np.array([y for _, _, y in aside], np.int64))
     return Model(langs, (weights * idf[:, None]).astype(np.float32), bias, temperature)
 
