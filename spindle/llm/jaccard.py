@@ -21,6 +21,12 @@ class before it and the tile's least one, and the links found are contracted
 to components. Then the tiles that still hold several components are compared
 in full, but only across components, in blocks of ``BLOCK`` rows: once for the
 nearest pair between any two components, and after another contraction for all.
+The links of this way are enough to connect what is similar, and no more.
+
+``join(docs, every=True)`` is the whole join: no contraction, every tile compared
+in full, so the links are all similar pairs of classes and ``degrees`` counts
+each document's similar documents. Its work grows with the number of those pairs,
+the square of a group's size; op10 needs components alone and contracts.
 
 Defined cases: a text of one to four words has its whole word sequence as the
 only shingle; texts without words and null texts have an empty set, link with
@@ -47,6 +53,8 @@ from .graph import components
 SHINGLE = 5
 #: Rows of a tile that one task compares with each other or with as many others.
 BLOCK = 4096
+#: The same where all pairs are wanted and a block's may all be similar.
+EVERY_BLOCK = 1024
 #: Shingles that are put last in the order: at most so many (16 MB broadcast).
 MOST_COMMON = 1 << 21
 #: A shingle is common if it is in more than one of so many documents that a task sees together.
@@ -352,14 +360,16 @@ def _tiles(batches: Iterator[pa.RecordBatch], one_each: bool = False) -> Iterato
 @dataclass
 class Join:
     """documents: doc_id, text_key, n, c. links: a, b (classes), similarity; enough of them to
-    connect all that is similar. classes: c, rep, component (least doc_id)."""
+    connect all that is similar, or all there are. classes: c, rep, component (least doc_id)."""
 
     documents: DataFrame
     links: DataFrame
     classes: DataFrame
 
 
-def join(docs: DataFrame, block: int = BLOCK) -> Join:
+def join(docs: DataFrame, block: int | None = None, every: bool = False) -> Join:
+    """every: all links and not only enough of them to connect."""
+    block = block or (EVERY_BLOCK if every else BLOCK)
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
     sets = cut(spark, source.mapInArrow(_sets, SETS), "sets")
@@ -369,6 +379,14 @@ def join(docs: DataFrame, block: int = BLOCK) -> Join:
     counts = sets.filter("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(MOST_COMMON)
     common = np.sort(counts.select("c").toPandas()["c"].to_numpy(np.int64).view(np.uint64))
     tiles = _tile_rows(spark, prefixes(source, spark.sparkContext.broadcast(common)))
+    links, found = _every(spark, source, tiles, reps, block) if every else _connecting(spark, source, tiles, reps, block)
+    named = reps.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", "rep", F.coalesce("component", "c").alias("_comp"))
+    least = named.groupBy("_comp").agg(F.min("rep").alias("component"))
+    return Join(documents, links, named.join(least, "_comp").select("c", "rep", "component"))
+
+
+def _connecting(spark: SparkSession, source: DataFrame, tiles: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Links that connect all that is similar, and the components."""
     # Each class with the one before it in the tile and with the tile's least.
     met = tiles.select("c", "n", F.explode(F.array("before", "least")).alias("o")).filter("o.c <> c AND 4 * least(n, o.n) >= 3 * greatest(n, o.n)")
     met = cut(spark, met.select(F.least("c", "o.c").alias("a"), F.greatest("c", "o.c").alias("b")).distinct(), "met")
@@ -388,19 +406,35 @@ def join(docs: DataFrame, block: int = BLOCK) -> Join:
         if not late.isEmpty():
             links = links.unionByName(late)
             found = components(spark, links)
-    named = reps.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", "rep", F.coalesce("component", "c").alias("_comp"))
-    least = named.groupBy("_comp").agg(F.min("rep").alias("component"))
-    return Join(documents, links, named.join(least, "_comp").select("c", "rep", "component"))
+    return links, found
+
+
+def _every(spark: SparkSession, source: DataFrame, tiles: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """All links, and the components. As long as each class is its own component, no tile and no pair is left out."""
+    alone = reps.select(F.col("c").alias("node"), F.col("c").alias("component"))
+    held = cut(spark, _mixed(tiles, alone, block, least=2), "every")
+    pairs = cut(spark, _dealt(held, reps).mapInArrow(_tiles, "a long, b long").distinct(), "pairs")
+    links = cut(spark, _verify(source, pairs, reps), "links")
+    return links, components(spark, links)
+
+
+def degrees(found: Join) -> DataFrame:
+    """doc_id, text_key, n_links of every row: how many other rows are similar to it, equal sets included. Needs all links."""
+    rows = found.documents.filter("n > 0").groupBy("c").agg(F.count(F.lit(1)).alias("rows"))
+    both = found.links.select(F.col("a").alias("of"), F.col("b").alias("c")).unionByName(found.links.select(F.col("b").alias("of"), F.col("a").alias("c")))
+    others = both.join(rows, "c").groupBy(F.col("of").alias("c")).agg(F.sum("rows").alias("others"))
+    totals = rows.join(others, "c", "left").select("c", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return found.documents.join(totals, "c", "left").select("doc_id", "text_key", F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
 
 
-def _mixed(tiles: DataFrame, found: DataFrame, block: int) -> DataFrame:
-    """tok, one, two, block, c, n, comp: rows of the tiles of three classes or more that hold several components.
+def _mixed(tiles: DataFrame, found: DataFrame, block: int, least: int = 3) -> DataFrame:
+    """tok, one, two, block, c, n, comp: rows of the tiles of ``least`` classes or more that hold several components.
 
     Each pair of a tile's blocks (one, two) has the rows of both.
     """
     named = tiles.select("tok", "c", "n").join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c"))
     whole = Window.partitionBy("tok")
-    rows = named.withColumn("_low", F.min("comp").over(whole)).withColumn("_high", F.max("comp").over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole)).filter("_low <> _high AND _n > 2")
+    rows = named.withColumn("_low", F.min("comp").over(whole)).withColumn("_high", F.max("comp").over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole)).filter(f"_low <> _high AND _n >= {least}")
     ranked = rows.withColumn("block", F.floor((F.row_number().over(whole.orderBy("n", "c")) - 1) / block)).withColumn("_last", F.floor((F.col("_n") - 1) / block))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))
     split = ranked.select("tok", "c", "n", "comp", "block", "_last").withColumn("_other", other)

@@ -81,6 +81,25 @@ def test_large_group_of_near_copies_meets_across_blocks(spark):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("seed,block", [(1, None), (2, 3), (5, 2)])
+def test_every_link_and_count_equals_all_pairs(spark, seed, block):
+    rows = corpus(seed) + [(1000, None), (1001, "")]
+    rows += [(1002 + i, rows[i][1]) for i in range(20)]
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), block=block, every=True)
+    sets = {doc: sets_of(t) for doc, t in rows}
+    alike = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    classes = {}
+    for r in found.documents.filter("n > 0").collect():
+        classes.setdefault(r.c, []).append(r.doc_id)
+    links = [(r.a, r.b) for r in found.links.collect()]
+    assert len(links) == len(set(links))
+    got = {tuple(sorted((x, y))) for a, b in links for x in classes[a] for y in classes[b]}
+    assert got | {p for c in classes.values() for p in itertools.combinations(sorted(c), 2)} == alike
+    assert {r.doc_id: r.n_links for r in jaccard.degrees(found).collect()} == {d: sum(d in p for p in alike) for d in sets}
+    out = found.documents.join(found.classes, "c", "left").select("doc_id", "n", "component")
+    assert sorted((r.doc_id, r.n, r.component if r.n else r.doc_id) for r in out.collect()) == brute(rows)
+
+
 @given(st.integers(1, 3000))
 def test_prefix_leaves_too_few_to_be_similar(n):
     k = jaccard.prefix_size(n)
