@@ -5,18 +5,23 @@ are put in topological order of their dependencies, their arguments are
 validated against schemas, and each linked call is serialised as canonical
 JSON (sorted keys, no blanks).
 
-Order: a call's rank starts as its turn. Calls nearly always depend on earlier
-turns, and then ranks are an order already; where a call refers to a later
-one, its rank is raised above that one's, and so on until nothing changes.
-Positions come from ranks by range first and within the range then, so that a
-conversation with a third of all calls is not one group.
+Order: a call's rank is its turn, or one more than the largest rank of what it
+depends on if that is more. Calls nearly always depend on earlier turns, and
+then ranks are turns. In conversations where a call refers to one that is not
+earlier, calls whose dependencies are all placed are placed, round by round, and
+a call with one dependency left that itself has one left takes that one's
+instead: so chains are halved, and rounds grow with the logarithm of their
+length. When a round places nothing, the calls left are exactly those of
+dependency cycles and those that depend on them. Positions come from ranks by
+range first and within the range then, so that a conversation with a third of
+all calls is not one group.
 
 Defined cases: a result counts once a call, the earliest turn first; further
 results are only counted (``n_results``); a call without result has null for it;
 a result without call is left out; a dependency that no call of the
 conversation has is an error of the call and orders nothing; calls of a
-dependency cycle, and those behind more than ``ROUNDS`` forward references in a
-row, come last in their conversation with ``ordered`` false; calls that share
+dependency cycle, and those that depend on one, come last in their conversation
+with ``ordered`` false, by turn; calls that share
 an identifier are linked to the same result each; arguments that are no JSON
 object are an error; null identifiers link to nothing; conversations may be
 null; empty tables give an empty result; other columns are unused.
@@ -28,9 +33,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import cut, scratch, table
 
-ROUNDS = 50
 #: Ranks of one conversation that are numbered together.
 RANGE = 1024
 
@@ -78,7 +82,7 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     return calls.join(met.hint("shuffle_hash"), same_call("_conv", "_call"), "left").drop("_conv", "_call").withColumn("n_results", F.coalesce("n_results", F.lit(0).cast("long")))
 
 
-def ranks(spark: SparkSession, calls: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def ranks(spark: SparkSession, calls: DataFrame) -> DataFrame:
     """_conv, _call, rank, ordered for each identifier; ranks respect the dependencies.
 
     calls: conv_id, call_id, turn, depends_on (array of identifiers).
@@ -87,23 +91,45 @@ def ranks(spark: SparkSession, calls: DataFrame, rounds: int = ROUNDS) -> DataFr
     least = least.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), F.coalesce("turn", F.lit(0)).cast("long").alias("rank"))
     edges = calls.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("child"), F.explode("depends_on").alias("parent")).filter("child IS NOT NULL AND parent IS NOT NULL").distinct()
 
-    def raised(now: DataFrame) -> DataFrame:
-        """The identifiers whose rank is not above that of what they depend on, with the rank they need."""
-        p = now.select(F.col("_conv").alias("_pc"), F.col("_call").alias("_pp"), F.col("rank").alias("_pr"))
-        k = now.select(F.col("_conv").alias("_kc"), F.col("_call").alias("_kk"), F.col("rank").alias("_kr"))
-        met = edges.join(p, F.col("_c").eqNullSafe(F.col("_pc")) & (F.col("parent") == F.col("_pp"))).join(k, F.col("_c").eqNullSafe(F.col("_kc")) & (F.col("child") == F.col("_kk")))
-        return met.filter("_kr <= _pr").groupBy(F.col("_c").alias("_rc"), F.col("child").alias("_rk")).agg((F.max("_pr") + 1).alias("_need"))
-
-    now = least
-    for k in range(rounds + 1):
-        late = cut(spark, raised(now), "raised")
-        if late.isEmpty():
-            return now.withColumn("ordered", F.lit(True))
-        joined = now.join(late, F.col("_conv").eqNullSafe(F.col("_rc")) & (F.col("_call") == F.col("_rk")), "left")
-        if k == rounds:
-            return joined.select("_conv", "_call", "rank", F.col("_need").isNull().alias("ordered"))
-        now = cut(spark, joined.select("_conv", "_call", F.coalesce("_need", "rank").alias("rank")), "ranks")
-    raise AssertionError
+    def met(now: DataFrame) -> DataFrame:
+        """The edges between identifiers that are there, with both ends' rank and, if there, id."""
+        p = now.select(*(F.col(c).alias(f"_p{c}") for c in now.columns))
+        k = now.select(*(F.col(c).alias(f"_k{c}") for c in now.columns))
+        return edges.join(p, F.col("_c").eqNullSafe(F.col("_p_conv")) & (F.col("parent") == F.col("_p_call"))).join(k, F.col("_c").eqNullSafe(F.col("_k_conv")) & (F.col("child") == F.col("_k_call")))
+
+    forward = cut(spark, met(least).filter("_krank <= _prank").select("_c").distinct(), "forward")
+    if forward.isEmpty():
+        return least.withColumn("ordered", F.lit(True))
+    here = F.col("_conv").eqNullSafe(F.col("_c"))
+    nodes = cut(spark, least.join(forward, here, "left_semi").withColumn("id", F.monotonically_increasing_id()), "nodes")
+    links = cut(spark, met(nodes).select(F.col("_kid").alias("v"), F.col("_pid").alias("u"), F.lit(1).cast("long").alias("w")), "links")
+    done = placed_ranks(spark, nodes.select("id", "rank"), links).withColumnRenamed("rank", "_placed")
+    found = nodes.join(done, "id", "left").select("_conv", "_call", F.coalesce("_placed", "rank").alias("rank"), F.col("_placed").isNotNull().alias("ordered"))
+    return least.join(forward, here, "left_anti").withColumn("ordered", F.lit(True)).unionByName(found)
+
+
+def placed_ranks(spark: SparkSession, state: DataFrame, links: DataFrame) -> DataFrame:
+    """id, rank of what is in no cycle of ``links`` and behind none.
+
+    state: id, rank (at least). links: v, u, w; the rank of v is at least that of u plus w.
+    """
+    folder, k = scratch(spark, "placed"), 0
+    while True:
+        free = f"{folder}/round={k}"
+        state.join(links, F.col("id") == F.col("v"), "left_anti").write.parquet(free)
+        free = spark.read.schema("id long, rank long").parquet(free)
+        if free.isEmpty():
+            return spark.read.schema("id long, rank long").parquet(folder)
+        first = links.join(free.select(F.col("id").alias("u"), "rank"), "u").groupBy(F.col("v").alias("id")).agg(F.max(F.col("rank") + F.col("w")).alias("_need"))
+        state = cut(spark, state.join(free, "id", "left_anti").join(first, "id", "left").select("id", F.greatest("rank", "_need").alias("rank")), "state")
+        links = cut(spark, links.join(free, F.col("u") == F.col("id"), "left_anti"), "links")
+        # Calls with one link whose other end has one link too: the rank there is known but for that link.
+        one = links.groupBy("v").agg(F.count(F.lit(1)).alias("_n"), F.first("u").alias("u"), F.first("w").alias("w")).filter("_n = 1").drop("_n")
+        via = one.join(state, F.col("v") == F.col("id")).select(F.col("v").alias("_v"), F.col("u").alias("_u"), F.col("w").alias("_w"), "rank")
+        jump = cut(spark, one.join(via, F.col("u") == F.col("_v")).select(F.col("v").alias("_jv"), "_u", (F.col("w") + F.col("_w")).alias("_sum"), (F.col("rank") + F.col("w")).alias("_need")), "jump")
+        state = cut(spark, state.join(jump, F.col("id") == F.col("_jv"), "left").select("id", F.greatest("rank", "_need").alias("rank")), "state")
+        links = cut(spark, links.join(jump, F.col("v") == F.col("_jv"), "left").select("v", F.coalesce("_u", "u").alias("u"), F.coalesce("_sum", "w").alias("w")), "links")
+        k += 1
 
 
 def positions(ranked: DataFrame) -> DataFrame:

@@ -243,6 +243,18 @@ CALL = "conv_id long, call_id string, turn long, name string, arguments string,
 RESULT = "conv_id long, call_id string, turn long, content string"
 
 
+def test_long_chains_and_cycles_are_ordered_exactly(spark):
+    chain = [(1, f"k{i:02}", i, [f"k{i + 1:02}"] if i < 69 else []) for i in range(70)]  # each call needs the next turn's
+    cycle = [(2, "a", 0, ["c"]), (2, "b", 1, ["a"]), (2, "c", 2, ["b"]), (2, "behind", 1000, ["a"]), (2, "free", 3, []), (2, "self", 4, ["self"]), (2, "both", 1, ["free", "late"]), (2, "late", 9, [])]
+    null = [(None, "x", 1, ["y"]), (None, "y", 1, []), (3, "p", 0, []), (3, "q", 1, ["p"])]
+    rows = chain + cycle + null
+    got = {(r.conv_id, r.call_id): r for r in tools.placed(spark, spark.createDataFrame(rows, "conv_id long, call_id string, turn int, depends_on array<string>")).collect()}
+    assert [got[1, f"k{i:02}"].position for i in range(70)] == list(range(69, -1, -1)) and all(got[1, f"k{i:02}"].ordered for i in range(70))
+    assert {c: got[2, c].ordered for _, c, _, _ in cycle} == {"a": False, "b": False, "c": False, "behind": False, "self": False, "free": True, "both": True, "late": True}
+    assert [c for _, c in sorted((got[2, c].position, c) for _, c, _, _ in cycle)] == ["free", "late", "both", "a", "b", "c", "self", "behind"]
+    assert got[None, "y"].position == 0 and got[None, "x"].position == 1 and got[3, "q"].position == 1
+
+
 def test_calls_are_linked_ordered_and_validated(spark):
     calls = [
         (1, "a", 3, "search", '{"turn":1,"query":"q"}', ["b"]),
