@@ -5,11 +5,15 @@ Texts are lower-cased; their n-grams of 1 to 3 code points are hashed to
 times its inverse document frequency, counted over all training rows. The
 weights of the languages are trained by follow-the-regularised-leader with
 per-coordinate rates and elastic-net penalties (L1 leaves most of them 0), on
-at most ``PER_LANG`` rows of each language, chosen by hash. A temperature
+at most about ``PER_LANG`` rows of each language, chosen by hash. A temperature
 fitted on rows the weights have not seen makes the scores honest.
 
-The sample is the only bounded part. What the driver gets of a sampled row is
-its sparse counts (at most ``DIM`` of them), not its text.
+Every non-null label is learnt. The sample is the only bounded part: ``SAMPLE``
+rows, shared out evenly over the labels, but at least one row of each. With more
+than ``DENSE_LANGS`` labels a label has weights only for features that its
+sampled rows have, so that weights take no more room than the sample. What the
+driver gets of a sampled row is its sparse counts (at most ``DIM`` of them), not
+its text.
 
 Defined cases: ``und`` with score 0 for null texts and texts without a letter,
 and for all texts if no row has a language to learn from; rows with null
@@ -35,7 +39,12 @@ DIM_BITS = 16
 DIM = 1 << DIM_BITS
 ORDERS = (1, 2, 3)
 PER_LANG = 1500
-MAX_LANGS = 64
+#: Rows of all languages; with more languages than 64, fewer rows of each.
+SAMPLE = 64 * PER_LANG
+#: With more languages than this, weights are kept for the pairs that occur.
+DENSE_LANGS = 64
+#: Scores of set-aside rows that the temperature is fitted on, at 50 rows or more.
+FIT_CELLS = 1 << 22
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 #: Below this a text is no more one language than another.
@@ -95,14 +104,35 @@ def text_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, total[at]
 
 
+@dataclass
+class Pairs:
+    """Values of (feature, language) pairs, by feature; those of all others are 0."""
+
+    starts: np.ndarray  # of each feature's pairs, and their number
+    lang: np.ndarray
+    value: np.ndarray
+
+    def of(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the features' pairs, and how many each feature has."""
+        n = self.starts[features + 1] - self.starts[features]
+        return np.arange(n.sum()) + np.repeat(self.starts[features] - (np.cumsum(n) - n), n), n
+
+    def times(self, features: np.ndarray, x: np.ndarray, n_langs: int) -> np.ndarray:
+        at, n = self.of(features)
+        return np.bincount(self.lang[at], self.value[at] * np.repeat(x, n), n_langs)
+
+
 @dataclass
 class Model:
     langs: list[str]
-    weights: np.ndarray  # DIM x languages: idf times weight
+    weights: np.ndarray | Pairs  # DIM x languages: idf times weight
     bias: np.ndarray
     temperature: float
 
     def logits(self, text: str) -> np.ndarray:
+        if isinstance(self.weights, Pairs):
+            at, counts = text_counts(text)
+            return self.weights.times(at.astype(np.int64), counts / counts.sum() * SCALE, len(self.langs)) + self.bias
         total, n = np.zeros(len(self.langs)), 0
         for g in gram_slices(text):
             for start in range(0, len(g), SLICE):
@@ -127,6 +157,41 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def solved(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """FTRL's weights of summed gradients and squares; 0 while the gradients stay within L1."""
+    return np.where(np.abs(z) > L1, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
+
+
+def train_pairs(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, scale: np.ndarray, epochs: int = EPOCHS) -> tuple[Pairs, np.ndarray]:
+    """``train_ftrl`` with weights for those pairs alone of which a row of the language has the feature."""
+    by_lang: dict[int, list[np.ndarray]] = {}
+    for at, _, y in rows:
+        by_lang.setdefault(y, []).append(at)
+    own = [(y, np.unique(np.concatenate(found)).astype(np.int32)) for y, found in by_lang.items()]
+    feature, lang = np.concatenate([a for _, a in own]), np.concatenate([np.full(len(a), y, np.int32) for y, a in own])
+    order = np.lexsort((lang, feature))
+    pairs = Pairs(np.searchsorted(feature[order], np.arange(DIM + 1)), lang[order], np.zeros(len(lang)))
+    z, n, z_bias, n_bias = np.zeros(len(lang)), np.zeros(len(lang)), np.zeros(n_langs), np.zeros(n_langs)
+
+    def step(z: np.ndarray, n: np.ndarray, at, w: np.ndarray, g: np.ndarray) -> None:
+        z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
+        n[at] += g * g
+
+    for epoch in range(epochs):
+        for i in np.random.default_rng(epoch).permutation(len(rows)):
+            features, share, y = rows[i]
+            features = features.astype(np.int64)
+            at, many = pairs.of(features)
+            x, k = np.repeat(share * scale[features], many), pairs.lang[at]
+            w, w_bias = solved(z[at], n[at]), solved(z_bias, n_bias)
+            p = softmax(np.bincount(k, x * w, n_langs) + w_bias)
+            p[y] -= 1
+            step(z, n, at, w, x * p[k])
+            step(z_bias, n_bias, slice(None), w_bias, p)
+    pairs.value = solved(z, n)
+    return pairs, solved(z_bias, n_bias)
+
+
 def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, scale: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal over rows (features, shares, language), a share times its feature's scale: weights and bias.
 
@@ -135,8 +200,7 @@ def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_langs: int, sca
     z, n = np.zeros((DIM + 1, n_langs)), np.zeros((DIM + 1, n_langs))
 
     def weights(at) -> np.ndarray:
-        free = np.abs(z[at]) > L1
-        return np.where(free, -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2), 0.0)
+        return solved(z[at], n[at])
 
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(rows)):
@@ -197,12 +261,13 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """A model of the training rows of ``docs`` (doc_id, text, lang)."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.select("text", F.col("lang").cast("string").alias("lang"), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-    langs = sorted(sizes)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()
+    langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return Model([], np.zeros((DIM, 0), np.float32), np.zeros(0), 1.0)
-    share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1.0, per_lang / sizes[lang]))))
-    chosen = rows.filter(F.col("h") < F.try_element_at(share, F.col("lang")))
+    each = max(1, min(per_lang, SAMPLE // len(langs)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"]), r["least"]) for r in sizes], "_lang string, _share double, _least double")
+    chosen = rows.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).filter("h < _share OR h = _least").select("text", "lang", "h")
     counted = rows.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     frequency = np.zeros(DIM + 1)
     for feature, n in counted.collect():
@@ -210,14 +275,25 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     idf = np.log((1 + frequency[DIM]) / (1 + frequency[:DIM])) + 1
     sample = chosen.mapInArrow(_features, "at binary, share binary, lang string, h double").collect()
     sample.sort(key=lambda r: (r["h"], r["lang"]))
-    vectors = [(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["share"], "<f4"), langs.index(r["lang"])) for r in sample]
+    number = {lang: k for k, lang in enumerate(langs)}
+    vectors = [(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["share"], "<f4"), number[r["lang"]]) for r in sample]
     scale = idf * SCALE
-    aside = vectors[::5] if len(vectors) >= 50 else []
-    learnt = [v for i, v in enumerate(vectors) if not aside or i % 5]
+    # A language of which all rows would be set aside keeps them.
+    kept = {y for i, (_, _, y) in enumerate(vectors) if i % 5}
+    aside = [v for v in vectors[::5] if v[2] in kept] if len(vectors) >= 50 else []
+    learnt = [v for i, v in enumerate(vectors) if not aside or i % 5 or v[2] not in kept]
+    aside = aside[: max(50, FIT_CELLS // len(langs))]
+    truth = np.array([y for _, _, y in aside], np.int64)
+    if len(langs) > DENSE_LANGS:
+        pairs, bias = train_pairs(learnt, len(langs), scale)
+        logits = np.array([pairs.times(at.astype(np.int64), share * scale[at], len(langs)) + bias for at, share, _ in aside])
+        held = np.flatnonzero(pairs.value)
+        feature = np.searchsorted(pairs.starts, held, side="right") - 1
+        weights = Pairs(np.searchsorted(feature, np.arange(DIM + 1)), pairs.lang[held], (pairs.value[held] * idf[feature]).astype(np.float32))
+        return Model(langs, weights, bias, fit_temperature(logits, truth))
     weights, bias = train_ftrl(learnt, len(langs), scale)
     logits = np.array([(share * scale[at]) @ weights[at] + bias for at, share, _ in aside])
-    temperature = fit_temperature(logits, np.array([y for _, _, y in aside], np.int64))
-    return Model(langs, (weights * idf[:, None]).astype(np.float32), bias, temperature)
+    return Model(langs, (weights * idf[:, None]).astype(np.float32), bias, fit_temperature(logits, truth))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -150,6 +150,19 @@ def test_languages_are_told_apart(spark):
     assert (model.weights != 0).mean() < 0.5
 
 
+def test_more_than_64_labels_are_all_learnt(spark):
+    r = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    alphabets = {f"l{k:02}": r.sample(letters, 12) for k in range(90)}
+    rows = [(f"{lang}", "".join(r.choice(own) for _ in range(60))) for k, (lang, own) in enumerate(alphabets.items()) for _ in range(12 if k else 1)]
+    docs = spark.createDataFrame([(i, text, lang) for i, (lang, text) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.train(docs.withColumn("doc_id", F.lit(None).cast("long")))  # nothing held out
+    assert model.langs == sorted(alphabets)
+    fresh = [(lang, "".join(r.choice(own) for _ in range(80))) for lang, own in alphabets.items() for _ in range(3)]
+    right = [model.predict(text)[0] == lang for lang, text in fresh]
+    assert sum(right) > 0.95 * len(right)
+
+
 def test_slices_hold_each_ngram_once(monkeypatch):
     text = "".join(random.Random(1).choice("abcdé ") for _ in range(500))
     whole = np.sort(language.grams(language.codes(text)))
