@@ -117,17 +117,17 @@ def pieces(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return each.withColumn("words", high - low).withColumn("offset", low - F.col("start"))
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(a row for each document with what the mix takes of it, the schedule)."""
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, *carried: str) -> tuple[DataFrame, DataFrame]:
+    """(a row for each document with what the mix takes of it and the carried columns, the schedule)."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carried)
     rows = cut(spark, rows, "sizes").withColumn("_row", F.monotonically_increasing_id())
     sources = cut(spark, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     slots = schedule(spark, sources, block_words)
     takes = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
     placed = cut(spark, streams(rows, sources), "streams")
     taken = pieces(placed, block_words).join(takes, ["sid", "block"]).groupBy("_row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return placed.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "source", "start", "_row"), slots
+    return placed.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "source", "start", "_row", *carried), slots
 
 
 def op3_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,13 +139,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes half of it or more, none, once or more.
 
     A document is whole or absent: ``taken / size`` is rounded to whole copies.
-    Documents without words have no part in a mix by words and stay once.
+    Documents without words have no part in a mix by words and stay once. Each row
+    has its own decision, also if ``doc_id`` is null or repeated; rows equal in
+    ``doc_id``, ``source`` and text are interchangeable.
     """
-    rows, _ = mix(docs)
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    rows, _ = mix(keyed, BLOCK_WORDS, "_key")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_key").orderBy(F.lit(1)))
     copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size")).cast("int"))
-    counts = rows.select(F.col("doc_id").alias("_id"), copies.alias("_copies"))
-    total = counts.groupBy("_id").agg(F.max("_copies").alias("_copies"))
-    kept = docs.join(total, docs["doc_id"].eqNullSafe(total["_id"])).filter("_copies > 0")
+    counts = rows.withColumn("_n", nth).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_key").alias("_k"), "_n", copies.alias("_copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_k")) & (F.col("_nth") == F.col("_n"))
+    kept = keyed.withColumn("_nth", nth).join(counts, same).filter("_copies > 0")
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

@@ -89,6 +89,15 @@ def test_targets_fill_up_by_weight(spark, sizes):
     assert got == pytest.approx(want)
 
 
+def test_stage_decides_row_by_row(spark):
+    rows = [(None if i % 2 else 7, " ".join(["w"] * (i + 1)), f"s{i % 3}") for i in range(60)] + [(None, "twice the same", "s1")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, _ = mixing.mix(docs)
+    want = sorted((r.source, r.size) for r in taken.collect() for _ in range(int(r.taken / r.size + 0.5)))
+    got = sorted((r.source, len(r.text.split())) for r in mixing.stage(spark, docs, "").collect())
+    assert got == want and len({r.doc_id for r in taken.collect()}) == 2
+
+
 def test_schedule_spreads_each_source(spark):
     rows = [("a", 32_000), ("b", 32_000), ("c", 32_000)]
     sources = mixing.targets(spark.createDataFrame(rows, "source string, source_size long"))
