@@ -151,17 +151,17 @@ def build_index(docs: DataFrame, bits: np.ndarray, shard_words: int = SHARD_WORD
     return source.mapInArrow(build, INDEX)
 
 
-def near(starts: np.ndarray, places: np.ndarray, offset: int, slop: int) -> np.ndarray:
-    """Those starts with a position of the list within ``slop`` of start + offset."""
+def near(starts: np.ndarray, places: np.ndarray, offset: int, slop: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether a position of the list is within ``slop`` of start + offset and in the start's document [begin, end)."""
     if not len(starts) or not len(places):
-        return starts[:0]
-    low = np.searchsorted(places, starts + offset - slop)
+        return np.zeros(len(starts), bool)
+    low = np.searchsorted(places, np.maximum(starts + offset - slop, begin))
     hit = places[low.clip(0, len(places) - 1)]
-    return starts[(low < len(places)) & (hit <= starts + offset + slop)]
+    return (low < len(places)) & (hit <= starts + offset + slop) & (hit < end)
 
 
-def lookup(phrases: Phrases, terms: np.ndarray, places: np.ndarray, ends: np.ndarray, slop: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-    """(window, starts) of each window that one shard's lists match."""
+def lookup(phrases: Phrases, terms: np.ndarray, places: np.ndarray, ends: np.ndarray, base: np.ndarray, lens: np.ndarray, slop: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(window, starts, documents) of each window that one shard's lists match; a proximity match may start before its document."""
     if not len(terms) or not len(phrases.lens):
         return
     at = np.searchsorted(terms, phrases.terms).clip(0, len(terms) - 1)
@@ -171,19 +171,20 @@ def lookup(phrases: Phrases, terms: np.ndarray, places: np.ndarray, ends: np.nda
         order = phrases.order[w][: phrases.lens[w]]
         first = order[0]
         starts = places[ends[at[w, first]] : ends[at[w, first] + 1]] - first
-        starts = starts[starts >= 0]
+        doc = np.searchsorted(base, starts + first, side="right") - 1
         for k in order[1:]:
-            starts = near(starts, places[ends[at[w, k]] : ends[at[w, k] + 1]], k, slop)
+            ok = near(starts, places[ends[at[w, k]] : ends[at[w, k] + 1]], k, slop, base[doc], base[doc] + lens[doc])
+            starts, doc = starts[ok], doc[ok]
             if not len(starts):
                 break
         if len(starts):
-            yield int(w), starts
+            yield int(w), starts, doc
 
 
 def search(index: DataFrame, blocks: list, slop: int = 0) -> DataFrame:
     """Each row's hit spans (start, end, start, ...: word positions) and items.
 
-    blocks: broadcast ``Phrases``. A span of a proximity match has the window's length.
+    blocks: broadcast ``Phrases``. A span of a proximity match has the window's length, cut to the document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +201,9 @@ def search(index: DataFrame, blocks: list, slop: int = 0) -> DataFrame:
             phrases = block.value
             if len(blocks) > 1:
                 vars(block).pop("_value", None)  # one block in memory at a time
-            for w, starts in lookup(phrases, terms, places, ends, slop):
-                doc = np.searchsorted(base, starts, side="right") - 1
-                size = int(phrases.lens[w])
-                inside = starts + size <= base[doc] + lens[doc]
-                starts, doc = starts[inside], doc[inside]
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + size, -1)
+            for w, starts, doc in lookup(phrases, terms, places, ends, base, lens, slop):
+                np.add.at(edge, np.maximum(starts, base[doc]), 1)
+                np.add.at(edge, np.minimum(starts + int(phrases.lens[w]), base[doc] + lens[doc]), -1)
                 for item in phrases.item_of[w]:
                     pairs.append(np.unique(doc) * (1 << 32) + (len(names) + item))
             names += phrases.names

@@ -58,6 +58,13 @@ def test_proximity_finds_what_the_exact_search_misses(spark):
     assert [r.doc_id for r in d.scan(frame, bench, slop=1).filter("size(items) > 0").collect()] == [1]
 
 
+def test_proximity_holds_at_the_edges_of_documents(spark):
+    docs = spark.createDataFrame([(1, "b a d c"), (2, "b a c"), (3, "d x x"), (4, "a b c")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([("i", "a b c d")], "item_id string, text string")
+    got = {r.doc_id: (list(r.items), list(r.spans)) for r in d.scan(docs, bench, slop=2).collect()}
+    assert got[1] == (["i"], [0, 3]) and all(got[k] == ([], []) for k in (2, 3, 4))
+
+
 def test_postings_round_trip():
     r = np.random.default_rng(1)
     hashes = r.integers(0, 50, 1000).astype(np.uint64)
