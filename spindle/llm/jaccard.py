@@ -1,7 +1,10 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
-A document's set is its distinct five-word shingles, each a 64-bit hash.
-Documents with equal sets form a class, and only classes are joined.
+A document's set is its distinct five-word shingles, each a 64-bit hash made of
+its words' hashes. Documents with equal sets form a class, known by the 128-bit
+digest of the set, and only classes are joined. A class goes by the digest's
+first half; of classes that clash there all but one get another name, by a list
+that is expected to be empty below 1e9 classes and a dozen long at 2e10.
 
 1. Every class names the least shingles of its set as its prefix: the smallest
    number that any set with Jaccard similarity 3/4 must share one of. The order
@@ -16,11 +19,16 @@ Documents with equal sets form a class, and only classes are joined.
    (one to two bits a shingle); the wider is folded onto the narrower.
 4. What the bound leaves is decided by intersecting the sorted arrays.
 
-Copies in a tile are not expanded into pairs: first each class meets only the
-class before it and the tile's least one, and the links found are contracted
-to components. Then the tiles that still hold several components are compared
-in full, but only across components, in blocks of ``BLOCK`` rows: once for the
-nearest pair between any two components, and after another contraction for all.
+Copies in a tile are not expanded into pairs, and no step writes more rows than
+the tiles have. First each class is decided against two others: of those that
+stand before it in a tile, and of those that lead one, the one it meets most
+often. The links found are contracted to components. Then, in tiles that still
+hold several components, each class is decided against the one of another
+component whose bitmap is nearest, and links are contracted again. What is left
+is decided inside the tiles: the rows that still have a partner of another
+component get their arrays, and a tile (or two of its blocks) returns a spanning
+forest of its similar pairs. A tile of more than ``BLOCK`` rows is dealt by hash:
+blocks of its largest component meet the other rows' blocks and not each other.
 The links of this way are enough to connect what is similar, and no more.
 
 ``join(docs, every=True)`` is the whole join: no contraction, every tile compared
@@ -37,24 +45,24 @@ table gives an empty result; other columns are unused.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, run_hashes, table
+from .common import SPACED_BYTES, cut, run_hashes, table, tidy
 from .graph import components
 
 SHINGLE = 5
 #: Rows of a tile that one task compares with each other or with as many others.
-BLOCK = 4096
-#: The same where all pairs are wanted and a block's may all be similar.
-EVERY_BLOCK = 1024
+BLOCK = 1024
 #: Shingles that are put last in the order: at most so many (16 MB broadcast).
 MOST_COMMON = 1 << 21
 #: A shingle is common if it is in more than one of so many documents that a task sees together.
@@ -62,7 +70,8 @@ COMMON_SHARE = 512
 SEEN = 1 << 18
 #: Of a class's tiles that are compared in full, so many tell where a pair meets first.
 FIRSTS = 8
-WANTED_BITS = 24
+#: Classes whose arrays are wanted are found by a bit set of 64 bits each, at most 2**27 (16 MB broadcast).
+WANTED_BITS = 27
 
 
 def distinct(h: np.ndarray) -> np.ndarray:
@@ -71,14 +80,43 @@ def distinct(h: np.ndarray) -> np.ndarray:
     return h if len(h) < 2 else h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted set of a text. bytes.lower and bytes.split know ASCII alone, as the contract does."""
-    return distinct(run_hashes([] if text is None else text.encode("utf-8", "surrogatepass").lower().split(), SHINGLE))
+def shingles(texts) -> Iterator[np.ndarray]:
+    """The sorted set of each text."""
+    return map(distinct, run_hashes(texts, SPACED_BYTES, SHINGLE))
 
 
-def class_of(s: np.ndarray) -> int:
-    """One number for a set; the set's size goes with it."""
-    return xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63)
+def strings(column: pa.Array) -> Iterator[str | None]:
+    return (x.as_py() for x in column)
+
+
+def class_of(s: np.ndarray) -> tuple[int, int]:
+    """Two numbers for a set."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes(), len(s)))
+
+
+def first_mask(bits: int) -> int:
+    """What of a class's first number counts; all of it but in tests of clashes."""
+    return -1 if bits == 64 else (1 << bits) - 1
+
+
+class Names(dict):
+    """The name of a class by its two numbers: the first, but for those listed here."""
+
+    def __missing__(self, key: tuple[int, int]) -> int:
+        return key[0]
+
+    def column(self, c: Column, c2: Column) -> Column:
+        out = c
+        for (first, second), name in self.items():
+            out = F.when((c == first) & (c2 == second), F.lit(name)).otherwise(out)
+        return out
+
+
+def names_of(pairs: DataFrame) -> Names:
+    """pairs: c, c2 of the classes. Where several have one first number, all but the least second get another."""
+    clash = pairs.groupBy("c").agg(F.min("c2").alias("least"), F.max("c2").alias("most")).filter("least <> most")
+    rows = pairs.join(clash, "c").filter("c2 <> least").select("c", "c2").distinct().collect()
+    return Names({(r.c, r.c2): struct.unpack("<q", xxhash.xxh3_64_digest(struct.pack("<qq", r.c, r.c2)))[0] for r in rows})
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -108,14 +146,14 @@ def similar(a: int, b: int, both: int) -> bool:
 
 # ---- reading the documents ----
 
-SETS = "kind byte, doc_id long, text_key long, n long, c long, bitmap binary"
-SETS_ARROW = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("bitmap", pa.binary())])
+SETS = "kind byte, doc_id long, text_key long, n long, c long, c2 long, bitmap binary"
+SETS_ARROW = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("c2", pa.int64()), ("bitmap", pa.binary())])
 
 
 class Once(set):
     """Classes that this task has met; forgets all when it holds SEEN."""
 
-    def new(self, c: int) -> bool:
+    def new(self, c) -> bool:
         if c in self:
             return False
         if len(self) >= SEEN:
@@ -124,56 +162,83 @@ class Once(set):
         return True
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: each document's class and, once a task, its bitmap. kind 1: common shingles (c) with counts (n)."""
-    once, held, size = Once(), [], 0
+def sets(source: DataFrame, first_bits: int = 64) -> DataFrame:
+    """kind 0: each document's class and, once a task, its bitmap. kind 1: common shingles (c) with counts (n).
 
-    def common() -> pa.RecordBatch:
-        every = np.sort(np.concatenate(held))
-        turns = np.concatenate([np.flatnonzero(np.diff(every)) + 1, [len(every)]])
-        at, n = every[turns - 1], np.diff(turns, prepend=0)
-        many = n > max(3, len(held) // COMMON_SHARE)
-        at, n = at[many].view(np.int64), n[many]
-        none = pa.nulls(len(at))
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(at, pa.int64()), none.cast(pa.binary())], schema=SETS_ARROW)
+    first_bits: how much of a class's first number is used (fewer for tests).
+    """
 
-    for batch in batches:
-        ns, cs, maps = [], [], []
-        for text in batch.column(1):
-            s = shingles(text.as_py())
-            c = class_of(s)
-            ns.append(len(s))
-            cs.append(c)
-            maps.append(bitmap(s).tobytes() if len(s) and once.new(c) else None)
-            if maps[-1]:
-                held.append(s)
-                size += len(s)
-                if size > 2_000_000:
-                    yield common()
-                    held, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int8)), batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array(maps, pa.binary())], schema=SETS_ARROW)
-    if held:
-        yield common()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, held, size, mask = Once(), [], 0, first_mask(first_bits)
+        for batch in batches:
+            ns, cs, c2s, maps = [], [], [], []
+            for s in shingles(strings(batch.column(1))):
+                c, c2 = class_of(s)
+                c &= mask
+                ns.append(len(s))
+                cs.append(c)
+                c2s.append(c2)
+                maps.append(bitmap(s).tobytes() if len(s) and once.new(c2) else None)
+                if maps[-1]:
+                    held.append(s)
+                    size += len(s)
+                    if size > 2_000_000:
+                        yield _common(held)
+                        held, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int8)), batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(cs, pa.int64()), pa.array(c2s, pa.int64()), pa.array(maps, pa.binary())], schema=SETS_ARROW)
+        if held:
+            yield _common(held)
+
+    return source.mapInArrow(tidy(run), SETS)
+
+
+def _common(held: list[np.ndarray]) -> pa.RecordBatch:
+    every = np.sort(np.concatenate(held))
+    turns = np.concatenate([np.flatnonzero(np.diff(every)) + 1, [len(every)]])
+    at, n = every[turns - 1], np.diff(turns, prepend=0)
+    many = n > max(3, len(held) // COMMON_SHARE)
+    at, n = at[many].view(np.int64), n[many]
+    none = pa.nulls(len(at), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int8)), none, none, pa.array(n, pa.int64()), pa.array(at, pa.int64()), none, none.cast(pa.string()).cast(pa.binary())], schema=SETS_ARROW)
 
 
 PREFIX = pa.schema([("c", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
 
-def prefixes(docs: DataFrame, common) -> DataFrame:
+@dataclass
+class Source:
+    """The documents (doc_id, text, text_key) and how their classes are named."""
+
+    rows: DataFrame
+    names: Names
+    first_bits: int = 64
+
+    def namer(self) -> Callable[[np.ndarray], int]:
+        """Gives a set's class its name, in workers."""
+        names, mask = self.names, first_mask(self.first_bits)
+
+        def name(s: np.ndarray) -> int:
+            c, c2 = class_of(s)
+            return names[c & mask, c2]
+
+        return name
+
+
+def prefixes(source: Source, common) -> DataFrame:
     """tok, c, place: the prefix of each class, at least once for each class.
 
     place is twice the set's size, and one more if the shingle stands behind the set's first seventh.
 
     common: broadcast ascending array of the shingles that come last.
     """
+    name = source.namer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, last = Once(), common.value
         for batch in batches:
             cs, ns, out = [], [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py())
-                if len(s) and once.new(c := class_of(s)):
+            for s in shingles(strings(batch.column(1))):
+                if len(s) and once.new(c := name(s)):
                     k = prefix_size(len(s))
                     if len(last):
                         at = np.searchsorted(last, s).clip(0, len(last) - 1)
@@ -187,36 +252,36 @@ def prefixes(docs: DataFrame, common) -> DataFrame:
                     out.append(head.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), pa.array(out, pa.list_(pa.int64()))], schema=PREFIX)
 
-    lists = docs.mapInArrow(run, "c long, n long, prefix array<long>")
+    lists = source.rows.mapInArrow(tidy(run), "c long, n long, prefix array<long>")
     each = lists.select("c", "n", F.posexplode("prefix").alias("pos", "tok"))
     return each.selectExpr("tok", "c", "2 * n + int(7 * pos > n) AS place")
 
 
-def arrays(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """c, items: the sorted arrays of the texts whose key a packed bit set has (it may let others by)."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def arrays(source: Source, wanted) -> DataFrame:
+    """c, items: the sorted arrays of the texts whose key a broadcast packed bit set has (it may let others by)."""
+    name = source.namer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, bits = Once(), shared.value
+        once, bits = Once(), wanted.value
         for batch in batches:
-            keys = batch.column(2).to_numpy() & ((1 << WANTED_BITS) - 1)
-            hit = bits[keys >> 5] >> (keys & 31).astype(np.uint32) & np.uint32(1)
+            keys = batch.column(2).to_numpy() & (32 * len(bits) - 1)
+            hit = np.flatnonzero(bits[keys >> 5] >> (keys & 31).astype(np.uint32) & np.uint32(1))
             cs, out = [], []
-            for i in np.flatnonzero(hit):
-                s = shingles(batch.column(1)[i].as_py())
-                if len(s) and once.new(c := class_of(s)):
+            for s in shingles(batch.column(1)[i].as_py() for i in hit):
+                if len(s) and once.new(c := name(s)):
                     cs.append(c)
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(out, pa.binary())], names=["c", "items"])
 
-    return docs.mapInArrow(run, "c long, items binary")
+    return source.rows.mapInArrow(tidy(run), "c long, items binary")
 
 
 def wanted_bits(keys: DataFrame) -> np.ndarray:
-    """The bit set of the text keys: 2**WANTED_BITS bits however many there are."""
-    k = F.col("text_key").bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
+    """The bit set of the text keys: 64 bits or more each, up to 2**WANTED_BITS; more keys let more others by."""
+    bits = min(WANTED_BITS, max(12, keys.count().bit_length() + 6))
+    k = F.col("text_key").bitwiseAND(F.lit((1 << bits) - 1))
     words = keys.select(k.alias("k")).selectExpr("shiftright(k, 5) AS w", "shiftleft(1L, int(k & 31)) AS b")
-    out = np.zeros(1 << (WANTED_BITS - 5), np.uint32)
+    out = np.zeros(1 << (bits - 5), np.uint32)
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).astype(np.uint32)
     return out
@@ -250,37 +315,45 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    at = np.searchsorted(y, x)
+    return int((y[at.clip(0, len(y) - 1)] == x).sum())
+
+
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, xa, xb) whose arrays are similar, with the sizes and overlap."""
+    """Pairs (a, b, xa, xb) whose arrays are similar, with their similarity."""
     for batch in batches:
         rows = []
         for i in range(batch.num_rows):
             x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (2, 3))
-            at = np.searchsorted(y, x)
-            both = int((y[at.clip(0, len(y) - 1)] == x).sum())
+            both = overlap(x, y)
             if similar(len(x), len(y), both):
                 rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), both / (len(x) + len(y) - both)))
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
+        yield _links(rows)
+
+
+def _links(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "similarity"])
 
 
 class Tile:
-    """Rows of one tile, or of two of its blocks, sorted by size."""
+    """Rows of one tile, or of two of its blocks."""
 
     def __init__(self, rows: pa.Table):
         self.tok, self.one, self.two = (rows.column(k)[0].as_py() for k in range(3))
         self.block, self.c, self.n, self.comp = (rows.column(k).to_numpy() for k in range(3, 7))
         self.maps = rows.column(7).to_pylist()
         self.firsts = np.full((rows.num_rows, FIRSTS), self.tok, np.int64)
-        for i, firsts in enumerate(rows.column(8).to_pylist()):
+        for i, firsts in enumerate(rows.column(8).to_pylist() if rows.num_columns > 8 else ()):
             self.firsts[i, : len(firsts)] = firsts
+        self.items = rows.column(9).to_pylist() if rows.num_columns > 9 else None
 
-    def pairs(self, one_each: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of classes, of other components each, that the bounds leave and that meet in no earlier tile.
+    def pairs(self, everywhere: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows p, q and their differing bits: pairs of other components each that the bounds leave, a part at a time.
 
-        one_each: of the pairs between two components only the one with the fewest differing bits.
+        Pairs that meet in an earlier tile are left to that one, unless ``everywhere``.
         """
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         width = np.array([len(m) for m in self.maps])
         for w in np.unique(width):
             mine = np.flatnonzero(width == w)
@@ -300,58 +373,119 @@ class Tile:
                     if self.one != self.two:
                         ok &= self.block[i][:, None] != self.block[theirs]
                     p, q = np.nonzero(ok)
-                    found += self._first_met(i[p], theirs[q], apart[p, q])
-        p, q, apart = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        if one_each and len(p):
-            low, high = np.minimum(self.comp[p], self.comp[q]), np.maximum(self.comp[p], self.comp[q])
-            order = np.lexsort((apart, high, low))
-            turns = (np.diff(low[order], prepend=low[order[0]] ^ 1) != 0) | (np.diff(high[order], prepend=0) != 0)
-            turns[0] = True
-            p, q = p[order[turns]], q[order[turns]]
-        return self.c[p], self.c[q]
+                    p, q, d = i[p], theirs[q], apart[p, q]
+                    if len(p):
+                        yield (p, q, d) if everywhere else self._first_met(p, q, d)
 
     def _bits(self, rows: np.ndarray) -> np.ndarray:
         return np.frombuffer(b"".join(self.maps[i] for i in rows), np.uint64).reshape(len(rows), -1)
 
-    def _first_met(self, p: np.ndarray, q: np.ndarray, apart: np.ndarray) -> list:
-        out = []
+    def _first_met(self, p: np.ndarray, q: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        met = np.zeros(len(p), bool)
         for s in range(0, len(p), 1 << 16):
-            i, j, d = p[s : s + (1 << 16)], q[s : s + (1 << 16)], apart[s : s + (1 << 16)]
-            met = ((self.firsts[i][:, :, None] == self.firsts[j][:, None, :]) & (self.firsts[i] < self.tok)[:, :, None]).any(axis=(1, 2))
-            out.append((i[~met], j[~met], d[~met]))
+            i, j = p[s : s + (1 << 16)], q[s : s + (1 << 16)]
+            met[s : s + (1 << 16)] = ((self.firsts[i][:, :, None] == self.firsts[j][:, None, :]) & (self.firsts[i] < self.tok)[:, :, None]).any(axis=(1, 2))
+        return p[~met], q[~met], apart[~met]
+
+    def all_pairs(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(np.minimum(self.c[p], self.c[q]), np.maximum(self.c[p], self.c[q])) for p, q, _ in self.pairs()]
+
+    def nearest(self) -> tuple[np.ndarray, ...]:
+        """tok, c, n, o, apart of each row that has a pair: the row of another component with the fewest differing bits, and these."""
+        best = np.full(len(self.c), 1 << 40, np.int64)
+        other = np.zeros(len(self.c), np.int64)
+        for p, q, apart in self.pairs(everywhere=True):
+            for i, j in ((p, q), (q, p)):
+                order = np.lexsort((self.c[j], apart, i))
+                i, j, d = i[order], j[order], apart[order]
+                first = np.diff(i, prepend=-1) != 0
+                i, j, d = i[first], j[first], d[first]
+                less = (d < best[i]) | ((d == best[i]) & (self.c[j] < self.c[other[i]]))
+                best[i[less]], other[i[less]] = d[less], j[less]
+        has = best < 1 << 40
+        return np.full(int(has.sum()), self.tok), self.c[has], self.n[has], self.c[other[has]], best[has]
+
+    def open_rows(self) -> np.ndarray:
+        """Classes that have a pair here."""
+        out = np.zeros(len(self.c), bool)
+        for p, q, _ in self.pairs():
+            out[p] = out[q] = True
+        return out
+
+    def forest(self) -> list[tuple[int, int, float]]:
+        """Similar pairs that connect the tile's components as far as any similar pairs do: fewer than its rows."""
+        up = {x: x for x in self.comp.tolist()}
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out, comp = [], self.comp.tolist()
+        for p, q, apart in self.pairs():
+            order = np.argsort(apart, kind="stable")
+            for i, j in zip(p[order].tolist(), q[order].tolist(), strict=True):
+                a, b = root(comp[i]), root(comp[j])
+                if a != b:
+                    x, y = (np.frombuffer(self.items[k], np.uint64) for k in (i, j))
+                    both = overlap(x, y)
+                    if similar(len(x), len(y), both):
+                        up[a] = b
+                        out.append((int(self.c[i]), int(self.c[j]), both / (len(x) + len(y) - both)))
         return out
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], one_each: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows (tok, one, two, block, c, n, comp, bitmap, firsts) sorted by the first three: surviving pairs (a, b) of each tile."""
-    rest: pa.Table | None = None
+def by_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Table]]:
+    """The tables of rows that agree in the first three columns, by which they are sorted; those of a batch together."""
 
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if t.num_rows < 2:
-            return
+    def split(t: pa.Table) -> list[pa.Table]:
         key = [t.column(k).to_numpy() for k in range(3)]
         turns = np.flatnonzero(np.logical_or.reduce([np.diff(k) != 0 for k in key])) + 1
-        left, right = [], []
-        for s, e in zip([0, *turns.tolist()], [*turns.tolist(), t.num_rows], strict=True):
-            if e - s > 1:
-                a, b = Tile(t.slice(s, e - s)).pairs(one_each)
-                left.append(np.minimum(a, b))
-                right.append(np.maximum(a, b))
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+        return [t.slice(s, e - s) for s, e in zip([0, *turns.tolist()], [*turns.tolist(), t.num_rows], strict=True)]
 
+    rest: pa.Table | None = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = t if rest is None else pa.concat_tables([rest, t])
-        if not t.num_rows:
-            continue
-        key = [t.column(k).to_numpy() for k in range(3)]
-        last = np.logical_and.reduce([k == k[-1] for k in key])
-        begin = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-        yield from pairs(t.slice(0, begin))
-        rest = t.slice(begin)
+        if t.num_rows:
+            *done, rest = split(t)
+            yield done
     if rest is not None:
-        yield from pairs(rest)
+        yield [rest]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (tok, one, two, block, c, n, comp, bitmap, firsts): surviving pairs (a, b) of each tile."""
+    for tables in by_tile(batches):
+        for t in tables:
+            found = Tile(t).all_pairs() if t.num_rows > 1 else []
+            for a, b in found:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, without ``firsts``: those that have a pair in their tile, with the nearest."""
+    for tables in by_tile(batches):
+        found = [Tile(t).nearest() for t in tables if t.num_rows > 1]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["tok", "c", "n", "o", "apart"])
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows: those that have a pair in their tile, without bitmap."""
+    for tables in by_tile(batches):
+        for t in tables:
+            if t.num_rows > 1 and (has := Tile(t).open_rows()).any():
+                yield from t.select([0, 1, 2, 3, 4, 5, 6]).filter(pa.array(has)).combine_chunks().to_batches()
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with arrays: the links (a, b, similarity) of each tile's forest."""
+    for tables in by_tile(batches):
+        for t in tables:
+            if t.num_rows > 1:
+                yield _links(Tile(t).forest())
 
 
 # ---- the join ----
@@ -367,54 +501,63 @@ class Join:
     classes: DataFrame
 
 
-def join(docs: DataFrame, block: int | None = None, every: bool = False) -> Join:
+def join(docs: DataFrame, block: int = BLOCK, every: bool = False, first_bits: int = 64) -> Join:
     """every: all links and not only enough of them to connect."""
-    block = block or (EVERY_BLOCK if every else BLOCK)
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
-    sets = cut(spark, source.mapInArrow(_sets, SETS), "sets")
-    documents = sets.filter("kind = 0").drop("kind", "bitmap")
-    reps = sets.filter("kind = 0 AND n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.min("text_key").alias("text_key"), F.max("bitmap").alias("bitmap"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
+    found = cut(spark, sets(rows, first_bits), "sets")
+    reps = found.filter("kind = 0 AND n > 0").groupBy("c", "c2").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.min("text_key").alias("text_key"), F.max("bitmap").alias("bitmap"))
     reps = cut(spark, reps, "classes")
-    counts = sets.filter("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(MOST_COMMON)
+    names = names_of(reps)
+    name = names.column(F.col("c"), F.col("c2"))
+    documents = found.filter("kind = 0").select("doc_id", "text_key", "n", name.alias("c"))
+    reps = reps.withColumn("c", name).drop("c2")
+    source = Source(rows, names, first_bits)
+    counts = found.filter("kind = 1").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(MOST_COMMON)
     common = np.sort(counts.select("c").toPandas()["c"].to_numpy(np.int64).view(np.uint64))
-    tiles = _tile_rows(spark, prefixes(source, spark.sparkContext.broadcast(common)))
+    shared = spark.sparkContext.broadcast(common)
+    tiles = _tile_rows(spark, prefixes(source, shared))
+    shared.destroy()
     links, found = _every(spark, source, tiles, reps, block) if every else _connecting(spark, source, tiles, reps, block)
     named = reps.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", "rep", F.coalesce("component", "c").alias("_comp"))
     least = named.groupBy("_comp").agg(F.min("rep").alias("component"))
     return Join(documents, links, named.join(least, "_comp").select("c", "rep", "component"))
 
 
-def _connecting(spark: SparkSession, source: DataFrame, tiles: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _connecting(spark: SparkSession, source: Source, tiles: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """Links that connect all that is similar, and the components."""
-    # Each class with the one before it in the tile and with the tile's least.
-    met = tiles.select("c", "n", F.explode(F.array("before", "least")).alias("o")).filter("o.c <> c AND 4 * least(n, o.n) >= 3 * greatest(n, o.n)")
-    met = cut(spark, met.select(F.least("c", "o.c").alias("a"), F.greatest("c", "o.c").alias("b")).distinct(), "met")
-    bounded = cut(spark, _bound(met, reps), "bounded")
-    links = cut(spark, _verify(source, bounded, reps), "links")
+    # Each class with the one that most often stands before it in a tile, and with the one that most often leads.
+    each = tiles.select("c", "n", F.posexplode(F.array("before", "least")).alias("k", "o")).filter("o.c <> c AND 4 * least(n, o.n) >= 3 * greatest(n, o.n)")
+    often = each.groupBy("c", "k", "o.c").agg(F.count(F.lit(1)).alias("times")).toDF("c", "k", "o", "times")
+    met = often.groupBy("c", "k").agg(F.max(F.struct("times", "o")).alias("m")).select(F.least("c", "m.o").alias("a"), F.greatest("c", "m.o").alias("b")).distinct()
+    met = cut(spark, met, "met")
+    links = _verify(source, cut(spark, _bound(met, reps), "bounded"), reps)
     found = components(spark, links)
-    # Tiles that still hold several components: first the nearest pair between any two of
-    # them, which contracts most, then all that is left.
-    rows = tiles
-    for compare in (_nearest, _tiles):
-        held = cut(spark, _mixed(rows, found, block), "mixed")
-        rows = held.filter("one = block AND two = block")  # tiles only ever become less mixed
-        more = _dealt(held, reps).mapInArrow(compare, "a long, b long").distinct().join(met, ["a", "b"], "left_anti")
-        more = cut(spark, more, "more")
-        late = cut(spark, _verify(source, more, reps), "links")
-        met = met.unionByName(more)
-        if not late.isEmpty():
-            links = links.unionByName(late)
-            found = components(spark, links)
+    held = cut(spark, _mixed(tiles, found, block), "mixed")
+    near = cut(spark, _dealt(held, reps, firsts=False).mapInArrow(tidy(_nearest), "tok long, c long, n long, o long, apart long"), "nearest")
+    best = near.groupBy("c").agg(F.min(F.struct("apart", "o")).alias("m")).select(F.least("c", "m.o").alias("a"), F.greatest("c", "m.o").alias("b")).distinct()
+    late = _verify(source, cut(spark, best.join(met, ["a", "b"], "left_anti"), "best"), reps)
+    if not late.isEmpty():
+        links = links.unionByName(late)
+        found = components(spark, links)
+    # Bitmaps and components leave a row without a partner in its tile once and for all.
+    held = cut(spark, _mixed(near.select("tok", "c", "n").distinct(), found, block), "mixed")
+    left = cut(spark, _dealt(held, reps).mapInArrow(tidy(_open), "tok long, one long, two long, block long, c long, n long, comp long"), "open")
+    with _items(source, left.select("c").distinct(), reps) as items:
+        if items is not None:
+            late = cut(spark, _dealt(left, reps, items).mapInArrow(tidy(_forests), LINKS), "links")
+            if not late.isEmpty():
+                links = links.unionByName(late)
+                found = components(spark, links)
     return links, found
 
 
-def _every(spark: SparkSession, source: DataFrame, tiles: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _every(spark: SparkSession, source: Source, tiles: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """All links, and the components. As long as each class is its own component, no tile and no pair is left out."""
     alone = reps.select(F.col("c").alias("node"), F.col("c").alias("component"))
-    held = cut(spark, _mixed(tiles, alone, block, least=2), "every")
-    pairs = cut(spark, _dealt(held, reps).mapInArrow(_tiles, "a long, b long").distinct(), "pairs")
-    links = cut(spark, _verify(source, pairs, reps), "links")
+    held = cut(spark, _mixed(tiles, alone, block), "every")
+    pairs = cut(spark, _dealt(held, reps).mapInArrow(tidy(_tiles), "a long, b long").distinct(), "pairs")
+    links = _verify(source, pairs, reps)
     return links, components(spark, links)
 
 
@@ -427,26 +570,38 @@ def degrees(found: Join) -> DataFrame:
     return found.documents.join(totals, "c", "left").select("doc_id", "text_key", F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
 
 
-def _mixed(tiles: DataFrame, found: DataFrame, block: int, least: int = 3) -> DataFrame:
-    """tok, one, two, block, c, n, comp: rows of the tiles of ``least`` classes or more that hold several components.
+def _mixed(tiles: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """tok, one, two, block, c, n, comp: rows of the tiles that hold several components.
 
-    Each pair of a tile's blocks (one, two) has the rows of both.
+    A tile of at most ``block`` rows is its own block 0. The rows of a larger one
+    are dealt by hash: those of its largest component to some blocks, all others
+    to blocks before these. Each pair of blocks (one, two), but two of the largest
+    component, has the rows of both.
     """
-    named = tiles.select("tok", "c", "n").join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c"))
-    whole = Window.partitionBy("tok")
-    rows = named.withColumn("_low", F.min("comp").over(whole)).withColumn("_high", F.max("comp").over(whole)).withColumn("_n", F.count(F.lit(1)).over(whole)).filter(f"_low <> _high AND _n >= {least}")
-    ranked = rows.withColumn("block", F.floor((F.row_number().over(whole.orderBy("n", "c")) - 1) / block)).withColumn("_last", F.floor((F.col("_n") - 1) / block))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))
-    split = ranked.select("tok", "c", "n", "comp", "block", "_last").withColumn("_other", other)
-    return split.select("tok", F.least("block", "_other").alias("one"), F.greatest("block", "_other").alias("two"), "block", "c", "n", "comp")
-
-
-def _dealt(held: DataFrame, reps: DataFrame) -> DataFrame:
-    """The rows of ``_mixed`` with bitmaps and first tiles, each tile's together."""
-    firsts = held.groupBy("c").agg(F.slice(F.array_sort(F.collect_set("tok")), 1, FIRSTS).alias("firsts"))
-    signed = reps.select("c", "bitmap").join(firsts, "c")
-    rows = held.join(signed, "c").select("tok", "one", "two", "block", "c", "n", "comp", "bitmap", "firsts")
-    return rows.repartition("tok", "one", "two").sortWithinPartitions("tok", "one", "two", "n", "c")
+    rows = tiles.select("tok", "c", "n").join(found.withColumnRenamed("node", "c"), "c", "left").select("tok", "c", "n", F.coalesce("component", "c").alias("comp"))
+    sizes = rows.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("rows"), F.count(F.lit(1)).alias("comps"))
+    sizes = sizes.filter("comps > 1").select("tok", "rows", F.col("top.comp").alias("hot"), F.col("top.k").alias("most"))
+    split = F.col("rows") > block
+    blocks = lambda n: F.ceil(n / block).cast("long")
+    sizes = sizes.withColumn("others", F.when(split, blocks(F.col("rows") - F.col("most"))).otherwise(F.lit(1)).cast("long"))
+    sizes = sizes.withColumn("hots", F.when(split, blocks(F.col("most"))).otherwise(F.lit(0)).cast("long"))
+    is_hot = (F.col("hots") > 0) & (F.col("comp") == F.col("hot"))
+    dealt = F.when(is_hot, F.col("others") + F.pmod(F.xxhash64("c"), F.greatest("hots", F.lit(1)))).otherwise(F.pmod(F.xxhash64("c"), F.col("others")))
+    ranked = rows.join(sizes, "tok").withColumn("block", dealt)
+    last = F.when(is_hot, F.col("others") - 1).otherwise(F.col("others") + F.col("hots") - 1)
+    each = ranked.select("tok", "c", "n", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    return each.select("tok", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "c", "n", "comp")
+
+
+def _dealt(held: DataFrame, reps: DataFrame, items: DataFrame | None = None, firsts: bool = True) -> DataFrame:
+    """The rows of ``_mixed`` with bitmaps and perhaps first tiles and arrays, each tile's together."""
+    signed, more = reps.select("c", "bitmap"), ["bitmap"]
+    if firsts:
+        signed, more = signed.join(held.groupBy("c").agg(F.slice(F.array_sort(F.collect_set("tok")), 1, FIRSTS).alias("firsts")), "c"), [*more, "firsts"]
+    if items is not None:
+        signed, more = signed.join(items, "c"), [*more, "items"]
+    rows = held.join(signed, "c").select("tok", "one", "two", "block", "c", "n", "comp", *more)
+    return rows.repartition("tok", "one", "two").sortWithinPartitions("tok", "one", "two")
 
 
 def _tile_rows(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -468,28 +623,39 @@ def _tile_rows(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return cut(spark, out.filter("least.c <> _most").select("tok", "c", "n", "before", "least"), "tiles")
 
 
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _tiles(batches, one_each=True)
-
-
 def _bound(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     x = reps.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("xa"))
     y = reps.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("xb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bounded, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(tidy(_bounded), "a long, b long")
+
+
+LINKS = "a long, b long, similarity double"
 
 
-def _verify(source: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs that are similar in truth. Of each class one text is read again."""
-    spark = source.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+@contextmanager
+def _items(source: Source, ends: DataFrame, reps: DataFrame) -> Iterator[DataFrame | None]:
+    """c, items: the arrays of the classes ``ends`` (c, a row each), or None without any. Of each one text is read again."""
+    spark = source.rows.sparkSession
     bits = wanted_bits(reps.join(ends, "c", "left_semi"))
     if not bits.any():
-        return spark.createDataFrame([], "a long, b long, similarity double")
-    items = arrays(source, bits).join(ends, "c", "left_semi").groupBy("c").agg(F.first("items").alias("items"))
-    items = cut(spark, items, "arrays")
-    x = items.select(F.col("c").alias("a"), F.col("items").alias("xa"))
-    y = items.select(F.col("c").alias("b"), F.col("items").alias("xb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_exact, "a long, b long, similarity double")
+        yield None
+        return
+    shared = spark.sparkContext.broadcast(bits)
+    try:
+        yield cut(spark, arrays(source, shared).join(ends, "c", "left_semi").groupBy("c").agg(F.first("items").alias("items")), "arrays")
+    finally:
+        shared.destroy()
+
+
+def _verify(source: Source, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs that are similar in truth."""
+    spark = source.rows.sparkSession
+    with _items(source, pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), reps) as items:
+        if items is None:
+            return spark.createDataFrame([], LINKS)
+        x = items.select(F.col("c").alias("a"), F.col("items").alias("xa"))
+        y = items.select(F.col("c").alias("b"), F.col("items").alias("xb"))
+        return cut(spark, pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(tidy(_exact), LINKS), "links")
 
 
 def clusters(docs: DataFrame) -> DataFrame:
@@ -509,10 +675,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows equal in ``doc_id`` and text stay once.
     """
-    kept = clusters(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_id"]) & (F.col("_text") == F.col("_key")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    kept = clusters(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key").distinct()
+    kept = kept.select(F.struct("doc_id", "text_key").alias("kept"))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("key", F.struct(F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("text_key")))
+    return rows.join(kept, F.col("key").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 SQL = r"""
