@@ -2,18 +2,19 @@
 
 The training documents are cut into index shards of about ``SHARD_WORDS``
 words. A stored row of the index holds one shard: its documents with their
-lengths, and for each term of the benchmark's vocabulary the ascending list of
-positions (delta-coded, compressed). A phrase is looked up shard by shard:
-its rarest term (by count over the whole corpus) gives the candidate starts,
-and the other terms' lists, shifted by their offsets in the phrase, thin them
-out from the rarest to the commonest until none or exact matches are left.
-With ``slop`` above 0 each term may stand that far from its place: proximity
-matches.
-
-Nothing is shuffled but the terms' counts. The vocabulary reaches the index
-builders as a bit set of fixed size (false hits only lengthen the index), the
-phrases as broadcast blocks of at most ``BLOCK_BYTES`` of benchmark text, as
-many as the benchmark needs.
+lengths, and for every term of theirs the ascending list of positions
+(delta-coded, compressed). A term is known by two independent 64-bit hashes of
+its word, so the index answers any phrase, whatever benchmark is asked. A phrase
+is looked up shard by shard: its rarest term (by count over the whole corpus)
+gives the candidate starts, and the other terms' lists, shifted by their offsets
+in the phrase, thin them out from the rarest to the commonest until none or
+exact matches are left. With ``slop`` above 0 each term may stand that far from
+its place: proximity matches.
+
+The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text, as many as
+it needs; one block at a time is on the driver and broadcast, and what it hits
+is written before the next. Nothing is shuffled but the counts of the block's
+terms (found by a bit set of fixed size) and the hits.
 
 Defined cases: null or wordless text has no words and is never contaminated;
 a benchmark item without words has no window; a null ``item_id`` counts as the
@@ -24,32 +25,32 @@ empty corpus gives an empty result. Other columns are unused.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, cut, run_hashes, table
+from .common import FIRST, SECOND, WORD_BYTES, cut, run_hashes, table, tidy
 
 WINDOW = 13
 SHARD_WORDS = 500_000
 BLOCK_BYTES = 16_000_000
 VOCABULARY_BITS = 24
 
-INDEX = "doc_ids array<long>, lens array<int>, terms array<long>, counts array<int>, postings binary"
-INDEX_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
-HITS = "doc_id long, n_words long, spans array<int>, items array<string>"
-HITS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
+INDEX = "shard string, doc_ids array<long>, keys array<long>, lens array<int>, terms array<long>, checks array<long>, counts array<int>, postings binary"
+INDEX_ARROW = pa.schema([("shard", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("terms", pa.list_(pa.int64())), ("checks", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
+HITS = "shard string, place int, spans array<int>, items array<string>"
+HITS_ARROW = pa.schema([("shard", pa.string()), ("place", pa.int32()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased words: runs of ASCII letters and digits and of characters beyond ASCII."""
-    return [] if text is None else text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
+def hashed_words(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text the two hashes of its lower-cased words: runs of ASCII letters and digits and of characters beyond ASCII."""
+    texts = list(texts)
+    return zip(run_hashes(texts, WORD_BYTES, 1, FIRST), run_hashes(texts, WORD_BYTES, 1, SECOND), strict=True)
 
 
 class Phrases:
@@ -57,16 +58,16 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str]], size: int = WINDOW):
         found: dict[tuple, set] = {}
-        for item, text in items:
-            h = run_hashes(words(text), 1).tolist()
-            for start in range(max(1, len(h) - size + 1) if h else 0):
-                found.setdefault(tuple(h[start : start + size]), set()).add(item)
+        for (item, _), (h, check) in zip(items, hashed_words(t for _, t in items), strict=True):
+            both = list(zip(h.tolist(), check.tolist(), strict=True))
+            for start in range(max(1, len(both) - size + 1) if both else 0):
+                found.setdefault(tuple(both[start : start + size]), set()).add(item)
         self.names = sorted({x for s in found.values() for x in s})
         at = {x: i for i, x in enumerate(self.names)}
         self.lens = np.array([len(w) for w in found], np.int64)
-        self.terms = np.zeros((len(found), size), np.uint64)
+        self.terms, self.checks = np.zeros((2, len(found), size), np.uint64)
         for k, w in enumerate(found):
-            self.terms[k, : len(w)] = w
+            self.terms[k, : len(w)], self.checks[k, : len(w)] = zip(*w, strict=True)
         self.item_of = [np.array(sorted(at[x] for x in s), np.int64) for s in found.values()]
         self.order = np.tile(np.arange(size), (len(found), 1))
 
@@ -85,28 +86,31 @@ class Phrases:
         self.order = np.argsort(n, axis=1, kind="stable")
 
 
-def bit_set(hashes: np.ndarray, bits: np.ndarray | None = None) -> np.ndarray:
+def bit_set(hashes: np.ndarray) -> np.ndarray:
     """A set of hashes as 2**VOCABULARY_BITS flags, packed."""
     flags = np.zeros(1 << VOCABULARY_BITS, bool)
     flags[(hashes >> np.uint64(64 - VOCABULARY_BITS)).astype(np.int64)] = True
-    packed = np.packbits(flags)
-    return packed if bits is None else bits | packed
+    return np.packbits(flags)
 
 
-def wanted(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """``hashes`` with 0 for those that the bit set lacks."""
+def in_set(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the bit set has them; it may say so of others."""
     k = (hashes >> np.uint64(64 - VOCABULARY_BITS)).astype(np.int64)
-    return np.where(bits[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1, hashes, np.uint64(0))
+    return (bits[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def pack_postings(hashes: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Terms ascending, how many positions each has, and the positions by term as packed deltas."""
+def pack_postings(hashes: np.ndarray, checks: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Terms by hash and check, how many positions each has, and the positions by term as packed deltas."""
     order = np.argsort(hashes, kind="stable")
-    terms, first, counts = np.unique(hashes[order], return_index=True, return_counts=True)
+    h, c = hashes[order], checks[order]
+    if ((h[1:] == h[:-1]) & (c[1:] != c[:-1])).any():  # words that share the first hash alone
+        order = np.lexsort((positions, checks, hashes))
+        h, c = hashes[order], checks[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])) if len(h) else np.zeros(0, np.int64)
     delta = np.diff(positions[order], prepend=0)
     delta[first] = positions[order][first]
     planes = delta.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
-    return terms, counts, zstandard.compress(planes.tobytes(), 3)
+    return h[first], c[first], np.diff(first, append=len(h)), zstandard.compress(planes.tobytes(), 1)
 
 
 def unpack_postings(counts: np.ndarray, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -118,37 +122,38 @@ def unpack_postings(counts: np.ndarray, blob: bytes) -> tuple[np.ndarray, np.nda
     return total - np.repeat(before, counts), ends
 
 
-def build_index(docs: DataFrame, bits: np.ndarray, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The stored index of ``docs`` (doc_id, text) over the terms of a bit set."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def build_index(docs: DataFrame, shard_words: int = SHARD_WORDS, key: Column | None = None) -> DataFrame:
+    """The index of ``docs`` (doc_id, text), which may carry a key: all words of all texts."""
+    key = F.lit(None) if key is None else key
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lens, hashes, held = [], [], [], 0
+        ids, keys, held, total = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            base = np.concatenate([[0], np.cumsum(np.array(lens, np.int64) + 1)])
-            flat = np.concatenate([np.append(h, np.uint64(0)) for h in hashes])
-            assert len(flat) == base[-1]
-            at = np.flatnonzero(flat)
-            terms, counts, blob = pack_postings(flat[at], at)
-            row = ([ids], [lens], [terms.view(np.int64)], [counts.astype(np.int32)], [blob])
+            lens = np.array([len(h) for h, _ in held], np.int64)
+            hashes, checks = (np.concatenate([x[k] for x in held]) for k in range(2))
+            # One position stays free behind each document, so that no phrase runs into the next.
+            at = np.arange(len(hashes)) + np.repeat(np.arange(len(lens)), lens)
+            terms, checks, counts, blob = pack_postings(hashes, checks, at)
+            row = ([uuid.uuid4().hex], [ids], [keys], [lens], [terms.view(np.int64)], [checks.view(np.int64)], [counts], [blob])
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, INDEX_ARROW, strict=True)], schema=INDEX_ARROW)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = run_hashes(words(text.as_py()), 1)
-                ids.append(doc_id)
-                lens.append(len(found))
-                hashes.append(wanted(found, shared.value))
-                held += len(found) + 1
-                if held >= shard_words:
-                    yield shard()
-                    ids, lens, hashes, held = [], [], [], 0
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                for doc_id, key, found in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), hashed_words(t.as_py() for t in part.column(1)), strict=True):
+                    ids.append(doc_id)
+                    keys.append(key)
+                    held.append(found)
+                    total += len(found[0]) + 1
+                    if total >= shard_words:
+                        yield shard()
+                        ids, keys, held, total = [], [], [], 0
         if ids:
             yield shard()
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(build, INDEX)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.cast("long").alias("key"))
+    return source.mapInArrow(tidy(build), INDEX)
 
 
 def near(starts: np.ndarray, places: np.ndarray, offset: int, slop: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -160,13 +165,25 @@ def near(starts: np.ndarray, places: np.ndarray, offset: int, slop: int, begin:
     return (low < len(places)) & (hit <= starts + offset + slop) & (hit < end)
 
 
-def lookup(phrases: Phrases, terms: np.ndarray, places: np.ndarray, ends: np.ndarray, base: np.ndarray, lens: np.ndarray, slop: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def places_of(phrases: Phrases, terms: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where each term of each phrase stands among a shard's terms, or -1."""
+    at = np.searchsorted(terms, phrases.terms)
+    while True:
+        here = at.clip(0, len(terms) - 1)
+        same = (at < len(terms)) & (terms[here] == phrases.terms)
+        other = same & (checks[here] != phrases.checks)
+        if not other.any():
+            return np.where(same, at, -1)
+        at = at + other
+
+
+def lookup(phrases: Phrases, terms: np.ndarray, checks: np.ndarray, places: np.ndarray, ends: np.ndarray, base: np.ndarray, lens: np.ndarray, slop: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(window, starts, documents) of each window that one shard's lists match; a proximity match may start before its document."""
     if not len(terms) or not len(phrases.lens):
         return
-    at = np.searchsorted(terms, phrases.terms).clip(0, len(terms) - 1)
+    at = places_of(phrases, terms, checks)
     used = np.arange(phrases.terms.shape[1]) < phrases.lens[:, None]
-    there = ((terms[at] == phrases.terms) | ~used).all(axis=1)
+    there = ((at >= 0) | ~used).all(axis=1)
     for w in np.flatnonzero(there):
         order = phrases.order[w][: phrases.lens[w]]
         first = order[0]
@@ -181,45 +198,53 @@ def lookup(phrases: Phrases, terms: np.ndarray, places: np.ndarray, ends: np.nda
             yield int(w), starts, doc
 
 
-def search(index: DataFrame, blocks: list, slop: int = 0) -> DataFrame:
-    """Each row's hit spans (start, end, start, ...: word positions) and items.
+def search(index: DataFrame, block, slop: int = 0) -> DataFrame:
+    """The documents that one block of phrases hits: spans (start, end, start, ...: word positions) and items.
 
-    blocks: broadcast ``Phrases``. A span of a proximity match has the window's length, cut to the document.
+    block: broadcast ``Phrases``. A span of a proximity match has the window's length, cut to the document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, lens, terms, counts, blob = (batch.column(k)[r] for k in range(5))
-                yield one(ids.as_py(), np.array(lens.values), np.array(terms.values).view(np.uint64), np.array(counts.values), blob.as_py())
+                lens, terms, checks, counts = (np.array(batch.column(k)[r].values) for k in range(1, 5))
+                yield one(block.value, batch.column(0)[r].as_py(), lens, terms.view(np.uint64), checks.view(np.uint64), counts, batch.column(5)[r].as_py())
 
-    def one(ids: list, lens: np.ndarray, terms: np.ndarray, counts: np.ndarray, blob: bytes) -> pa.RecordBatch:
+    def one(phrases: Phrases, shard: str, lens: np.ndarray, terms: np.ndarray, checks: np.ndarray, counts: np.ndarray, blob: bytes) -> pa.RecordBatch:
         base = np.concatenate([[0], np.cumsum(lens.astype(np.int64) + 1)])
         places, ends = unpack_postings(counts, blob)
-        edge, names, pairs = np.zeros(base[-1] + 1, np.int64), [], []
-        for block in blocks:
-            phrases = block.value
-            if len(blocks) > 1:
-                vars(block).pop("_value", None)  # one block in memory at a time
-            for w, starts, doc in lookup(phrases, terms, places, ends, base, lens, slop):
-                np.add.at(edge, np.maximum(starts, base[doc]), 1)
-                np.add.at(edge, np.minimum(starts + int(phrases.lens[w]), base[doc] + lens[doc]), -1)
-                for item in phrases.item_of[w]:
-                    pairs.append(np.unique(doc) * (1 << 32) + (len(names) + item))
-            names += phrases.names
+        edge, pairs = np.zeros(base[-1] + 1, np.int64), []
+        for w, starts, doc in lookup(phrases, terms, checks, places, ends, base, lens, slop):
+            np.add.at(edge, np.maximum(starts, base[doc]), 1)
+            np.add.at(edge, np.minimum(starts + int(phrases.lens[w]), base[doc] + lens[doc]), -1)
+            for item in phrases.item_of[w]:
+                pairs.append(np.unique(doc) * (1 << 32) + item)
         inside = np.cumsum(edge[:-1]) > 0
         turns = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
         span_doc = np.searchsorted(base, turns[::2], side="right") - 1
         spans: dict[int, list[int]] = {}
         for d, a, b in zip(span_doc.tolist(), turns[::2].tolist(), turns[1::2].tolist(), strict=True):
             spans.setdefault(d, []).extend((a - int(base[d]), b - int(base[d])))
-        items: dict[int, set[str]] = {}
+        items: dict[int, list[str]] = {}
         for key in np.unique(np.concatenate(pairs)).tolist() if pairs else ():
-            items.setdefault(key >> 32, set()).add(names[key & 0xFFFFFFFF])
-        n = range(len(ids))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lens, pa.int64()), pa.array([spans.get(i, []) for i in n], pa.list_(pa.int32())), pa.array([sorted(items.get(i, ())) for i in n], pa.list_(pa.string()))], schema=HITS_ARROW)
+            items.setdefault(key >> 32, []).append(phrases.names[key & 0xFFFFFFFF])
+        hit = sorted(spans)
+        return pa.RecordBatch.from_arrays([pa.array([shard] * len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array([spans[d] for d in hit], pa.list_(pa.int32())), pa.array([items[d] for d in hit], pa.list_(pa.string()))], schema=HITS_ARROW)
+
+    return index.select("shard", "lens", "terms", "checks", "counts", "postings").mapInArrow(tidy(run), HITS)
+
+
+def term_counts(index: DataFrame, bits) -> DataFrame:
+    """term, n: how often the terms of a broadcast bit set (and some others) occur in the whole corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                terms = np.array(batch.column(0)[r].values)
+                asked = in_set(terms.view(np.uint64), bits.value)
+                yield pa.RecordBatch.from_arrays([pa.array(terms[asked]), pa.array(np.array(batch.column(1)[r].values)[asked], pa.int64())], names=["term", "n"])
 
-    return index.mapInArrow(run, HITS)
+    return index.select("terms", "counts").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, size: int = WINDOW) -> Iterator[Phrases]:
@@ -232,22 +257,48 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, size:
         yield Phrases([(r.item_id, r.text) for r in block.collect()], size)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, slop: int = 0, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS, size: int = WINDOW) -> DataFrame:
-    """Per row of ``docs``: n_words, the spans that benchmark windows cover, the items found."""
+def merged(spans: list[int]) -> list[int]:
+    """Spans (start, end, start, ...) in any order as ascending ones that do not touch."""
+    out: list[int] = []
+    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += (a, b)
+    return out
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.set_column(2, "spans", pa.array([merged(x) for x in batch.column(2).to_pylist()], pa.list_(pa.int32())))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, slop: int = 0, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS, size: int = WINDOW, key: Column | None = None) -> DataFrame:
+    """Per row of ``docs``: its key, n_words, the spans that benchmark windows cover, the items found."""
     spark = docs.sparkSession
-    bits = bit_set(np.zeros(0, np.uint64))
-    for phrases in benchmark_blocks(benchmark, block_bytes, size):
-        bits = bit_set(phrases.vocabulary(), bits)
-    index = cut(spark, build_index(docs, bits, shard_words), "postings")
-    counts = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("n"))
-    shared = []
+    index = cut(spark, build_index(docs, shard_words, key), "postings")
+    found = spark.createDataFrame([], HITS)
     for phrases in benchmark_blocks(benchmark, block_bytes, size):
-        vocabulary = phrases.vocabulary()
-        asked = spark.createDataFrame([(int(x),) for x in vocabulary.view(np.int64)], "term long")
-        got = {int(t) & 0xFFFFFFFFFFFFFFFF: n for t, n in counts.join(asked, "term", "left_semi").collect()}
-        phrases.rarest_first(vocabulary, np.array([got.get(int(x), 0) for x in vocabulary], np.int64))
-        shared.append(spark.sparkContext.broadcast(phrases))
-    return search(index, shared, slop)
+        found = found.unionByName(_hits(spark, index, phrases, slop))
+    both = found.groupBy("shard", "place").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    each = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "keys", "lens")).alias("place", "doc")).select("shard", "place", "doc.doc_ids", "doc.keys", F.col("doc.lens").cast("long").alias("n_words"))
+    rows = each.join(both.mapInArrow(tidy(_merged), HITS), ["shard", "place"], "left")
+    none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>"))
+    return rows.select(F.col("doc_ids").alias("doc_id"), F.col("keys").alias("key"), "n_words", none(F.col("spans"), "int").alias("spans"), none(F.col("items"), "string").alias("items"))
+
+
+def _hits(spark: SparkSession, index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
+    """What one block of the benchmark hits, written."""
+    vocabulary = phrases.vocabulary()
+    bits = spark.sparkContext.broadcast(bit_set(vocabulary))
+    asked = spark.createDataFrame([(int(x),) for x in vocabulary.view(np.int64)], "term long")
+    got = {int(t) & 0xFFFFFFFFFFFFFFFF: n for t, n in term_counts(index, bits).join(asked, "term", "left_semi").collect()}
+    phrases.rarest_first(vocabulary, np.array([got.get(int(x), 0) for x in vocabulary], np.int64))
+    shared = spark.sparkContext.broadcast(phrases)
+    out = cut(spark, search(index, shared, slop), "hits")
+    bits.destroy()
+    shared.destroy()
+    return out
 
 
 def verdicts(hits: DataFrame) -> DataFrame:
@@ -258,21 +309,25 @@ def verdicts(hits: DataFrame) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        "spans", "items",
+        "spans", "items", "key",
     )
 
 
 def op4_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return verdicts(hits).drop("spans", "items")
+    return verdicts(hits).drop("spans", "items", "key")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a twentieth or more of their words inside benchmark windows go."""
-    texts = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    judged = verdicts(scan(docs.select(texts.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")))
-    bad = judged.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, texts == F.col("_bad"), "left_anti")
+    judged = verdicts(scan(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), key=_text_key(F.col("text"))))
+    bad = judged.filter("contaminated").select(F.struct("doc_id", "key").alias("bad")).distinct()
+    rows = docs.select(F.struct("*").alias("row")).withColumn("me", F.struct(F.col("row.doc_id").cast("long").alias("doc_id"), _text_key(F.col("row.text")).alias("key")))
+    return rows.join(bad, F.col("me").eqNullSafe(F.col("bad")), "left_anti").select("row.*")
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 SQL = r"""

@@ -65,11 +65,33 @@ def test_proximity_holds_at_the_edges_of_documents(spark):
     assert got[1] == (["i"], [0, 3]) and all(got[k] == ([], []) for k in (2, 3, 4))
 
 
+def test_words_that_clash_under_polynomial_hashes_are_told_apart(spark):
+    for n in (1024, 2048):
+        word = "a"
+        while len(word) < n:
+            word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        bench = spark.createDataFrame([(1, other)], "item_id long, text string")
+        got = d.verdicts(d.scan(spark.createDataFrame([(0, word), (1, other)], "doc_id long, text string"), bench)).collect()
+        assert sorted((r.doc_id, r.n_hit, r.contaminated) for r in got) == [(0, 0, False), (1, 1, True)]
+
+
+def test_spans_of_several_blocks_are_merged():
+    assert d.merged([5, 9, 0, 2, 8, 12, 2, 3, 20, 21]) == [0, 3, 5, 12, 20, 21]
+
+
 def test_postings_round_trip():
+    """Terms 3 and 7 are words that share the first hash."""
     r = np.random.default_rng(1)
-    hashes = r.integers(0, 50, 1000).astype(np.uint64)
+    words = r.integers(0, 50, 1000)
+    hashes, checks = np.where(words == 7, 3, words).astype(np.uint64), words.astype(np.uint64)
     at = np.sort(r.choice(10**6, 1000, replace=False))
-    terms, counts, blob = d.pack_postings(hashes, at)
+    terms, found, counts, blob = d.pack_postings(hashes, checks, at)
     places, ends = d.unpack_postings(counts, blob)
-    for k, t in enumerate(terms):
-        assert places[ends[k] : ends[k + 1]].tolist() == at[hashes == t].tolist()
+    assert len(terms) == len(set(words.tolist())) and terms[found == 7] == 3
+    for k, t in enumerate(found):
+        assert places[ends[k] : ends[k + 1]].tolist() == at[words == t].tolist()
+    asked = d.Phrases([], 2)
+    asked.terms, asked.checks = np.array([[3, 3], [3, 60]], np.uint64), np.array([[7, 3], [9, 60]], np.uint64)
+    at = d.places_of(asked, terms, found)
+    assert found[at[0]].tolist() == [7, 3] and at[1].tolist() == [-1, -1]
