@@ -9,7 +9,8 @@ at most about ``PER_LANG`` rows of each language, chosen by hash. A temperature
 fitted on rows the weights have not seen makes the scores honest.
 
 Every non-null label is learnt. The sample is the only bounded part: ``SAMPLE``
-rows, shared out evenly over the labels, but at least one row of each. With more
+rows and about ``SAMPLE_FEATURES`` features in all, shared out evenly over the
+labels, but at least one row of each. With more
 than ``DENSE_LANGS`` labels a label has weights only for features that its
 sampled rows have, so that weights take no more room than the sample. What the
 driver gets of a sampled row is its sparse counts (at most ``DIM`` of them), not
@@ -32,8 +33,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import table, tidy
 
 DIM_BITS = 16
 DIM = 1 << DIM_BITS
@@ -41,6 +43,8 @@ ORDERS = (1, 2, 3)
 PER_LANG = 1500
 #: Rows of all languages; with more languages than 64, fewer rows of each.
 SAMPLE = 64 * PER_LANG
+#: Features of all sampled rows together, 6 bytes each on the driver: where texts are long, fewer rows.
+SAMPLE_FEATURES = 48_000_000
 #: With more languages than this, weights are kept for the pairs that occur.
 DENSE_LANGS = 64
 #: Scores of set-aside rows that the temperature is fitted on, at 50 rows or more.
@@ -261,19 +265,21 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """A model of the training rows of ``docs`` (doc_id, text, lang)."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.select("text", F.col("lang").cast("string").alias("lang"), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)).alias("h"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()
+    most = F.least(F.lit(len(ORDERS)) * (F.length("text") + 2), F.lit(DIM))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"), F.avg(most).alias("features")).collect()
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return Model([], np.zeros((DIM, 0), np.float32), np.zeros(0), 1.0)
     each = max(1, min(per_lang, SAMPLE // len(langs)))
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"]), r["least"]) for r in sizes], "_lang string, _share double, _least double")
+    wanted = {r["lang"]: min(each, SAMPLE_FEATURES / len(langs) / r["features"]) for r in sizes}
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, wanted[r["lang"]] / r["n"]), r["least"]) for r in sizes], "_lang string, _share double, _least double")
     chosen = rows.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).filter("h < _share OR h = _least").select("text", "lang", "h")
-    counted = rows.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = rows.select("text").mapInArrow(tidy(_frequencies), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     frequency = np.zeros(DIM + 1)
     for feature, n in counted.collect():
         frequency[feature] = n
     idf = np.log((1 + frequency[DIM]) / (1 + frequency[:DIM])) + 1
-    sample = chosen.mapInArrow(_features, "at binary, share binary, lang string, h double").collect()
+    sample = chosen.mapInArrow(tidy(_features), "at binary, share binary, lang string, h double").collect()
     sample.sort(key=lambda r: (r["h"], r["lang"]))
     number = {lang: k for k, lang in enumerate(langs)}
     vectors = [(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["share"], "<f4"), number[r["lang"]]) for r in sample]
@@ -301,7 +307,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     source = docs.select(*others, F.col("text").cast("string").alias("text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1]) + "lang_pred string, score double"
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,7 +315,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             columns = [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*others, "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def op1_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,5 +328,5 @@ def op1_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents go that have no language or whose score is below ``MIN_SCORE``."""
     model = train(docs.select("doc_id", "text", "lang"))
-    kept = predict(docs.withColumn("_text", F.col("text")), model).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return kept.select(*(F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return predict(rows, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Slot k of the schedule has the golden-ratio point ``k * 2654435769 mod 2**32``;
-the source whose interval of cumulative targets holds the point serves the
+the source whose interval of cumulative weights holds the point serves the
 slot. Slots of a source are ranked in order of k, and rank r takes block
 ``r mod n_blocks`` of that source: its documents in a shuffled order (by MD5 of
 ``doc_id``) are one stream of words, cut into blocks of ``BLOCK_WORDS``. So any
@@ -12,15 +12,20 @@ share the corpus' words, none gets more than ``MAX_PASSES`` times its own, and
 what is cut off is shared anew by weight. With sources sorted by cap over
 weight, prefix sums give the level directly.
 
-No group is handled whole: running sums and ranks go by bucket (of the hash,
-of the slot number) first, and only bucket totals are summed in order, so a
-source with a third of all rows is spread over ``BUCKETS`` groups.
+Each source takes its target rounded to a word, and its interval is as wide as
+the slots that this needs, the last of which takes only the words still missing
+from its block. Points that fall to a source that has all its slots serve none;
+the few slots that points leave a source short of follow at the end.
+
+No group is handled whole: streams are summed by ranges of rows, slots by chunks
+of numbers, and only the sums of these are added up in order, so a source with a
+third of all rows, or an id that a third of all rows share, is spread.
 
 Defined cases: null or wordless text has size 0 and takes 0; null source is a
 source of its own; a source without words has target 0; rows of equal
 ``doc_id`` are ordered by size, and rows equal in both are interchangeable;
 null ``doc_id`` sorts first; an empty table gives an empty result; other
-columns are unused.
+columns are unused, whatever they are called.
 """
 
 from __future__ import annotations
@@ -29,12 +34,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import cut, numbered, running, table
 
 BLOCK_WORDS = 32
 MAX_PASSES = 3
-#: Groups of a source's stream, by the first three digits of the hash.
-BUCKETS = 4096
 GOLDEN = 2654435769
 POINTS = 1 << 32
 SLOT_CHUNK = 1 << 16
@@ -47,8 +50,8 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, weight, target and the interval [low, high) of points.
+def targets(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """source, sid, source_size, weight, target, the words to take (quota), its slots, and the interval [low, high) of points.
 
     sizes: a row for each source. Windows without partition run over these
     rows alone.
@@ -66,67 +69,72 @@ def targets(sizes: DataFrame) -> DataFrame:
     level = level.withColumn("_open", F.sum(F.when(F.col("_is_full"), 0).otherwise(F.col("weight"))).over(everything))
     target = F.when(F.col("_is_full"), F.col("_cap").cast("double")).otherwise((F.col("weight") * F.col("_rest")).cast("double") / F.col("_open"))
     level = level.withColumn("target", target)
+    level = level.withColumn("quota", F.coalesce(F.round("target"), F.lit(0)).cast("long"))
+    n_blocks, words = F.ceil(F.col("source_size") / block_words), F.greatest("source_size", F.lit(1))
+    level = level.withColumn("slots", (F.floor(F.col("quota") / words) * n_blocks + F.ceil(F.pmod("quota", words) / block_words)).cast("long"))
     upto = Window.orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
-    bound = F.floor(F.sum("target").over(upto) / F.sum("target").over(everything) * POINTS)
-    level = level.withColumn("high", F.when(F.col("_rank") == F.max("_rank").over(everything), F.lit(POINTS).cast("long")).otherwise(F.coalesce(bound, F.lit(0))))
+    level = level.withColumn("high", F.floor(F.sum("slots").over(upto) / F.greatest(F.sum("slots").over(everything), F.lit(1)) * POINTS))
     level = level.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("_rank")), F.lit(0).cast("long")))
-    return level.select("source", F.col("_rank").alias("sid"), "source_size", "weight", "target", "low", "high")
+    return level.select("source", F.col("_rank").alias("sid"), "source_size", "weight", "target", "quota", "slots", "low", "high")
 
 
 def schedule(spark: SparkSession, sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """slot, sid, rank, block, pass: which block of which source each slot takes.
+    """slot, sid, rank, block, words: which block of which source each slot takes, and how many of its words.
 
-    A slot that would take a block for the fourth time takes nothing and is left out.
+    Each source has exactly its number of slots; points beyond that serve none.
     """
-    total = sources.agg(F.sum("source_size")).head()[0] or 0
-    slots = spark.range(-(-total // block_words)).withColumnRenamed("id", "slot")
+    n_slots = sources.agg(F.sum("slots")).head()[0] or 0
+    slots = spark.range(n_slots).withColumnRenamed("id", "slot")
     point = (F.col("slot").bitwiseAND(F.lit((1 << 31) - 1)) * F.lit(GOLDEN)).bitwiseAND(F.lit(POINTS - 1))
     width = POINTS // CELLS
     slots = slots.withColumn("_point", point).withColumn("_cell", F.floor(F.col("_point") / width))
-    spread = sources.filter("high > low").select("sid", "source_size", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("_cell"))
-    served = slots.join(spread, (slots["_cell"] == spread["_cell"]) & (F.col("_point") >= F.col("low")) & (F.col("_point") < F.col("high"))).select("slot", "sid", "source_size").withColumn("_chunk", F.floor(F.col("slot") / SLOT_CHUNK))
+    spread = sources.filter("high > low").select("sid", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("_cell"))
+    served = slots.join(spread, (slots["_cell"] == spread["_cell"]) & (F.col("_point") >= F.col("low")) & (F.col("_point") < F.col("high"))).select("slot", "sid").withColumn("_chunk", F.floor(F.col("slot") / SLOT_CHUNK))
     served = cut(spark, served, "slots")
     per_chunk = served.groupBy("sid", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("sid").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per_chunk = per_chunk.select("sid", "_chunk", before.alias("_before"))
     inside = F.row_number().over(Window.partitionBy("sid", "_chunk").orderBy("slot")) - 1
-    ranked = served.withColumn("_inside", inside).join(per_chunk, ["sid", "_chunk"]).withColumn("rank", F.col("_before") + F.col("_inside"))
+    ranked = served.withColumn("_inside", inside).join(per_chunk.select("sid", "_chunk", before.alias("_before")), ["sid", "_chunk"]).select("slot", "sid", (F.col("_before") + F.col("_inside")).alias("rank"))
+    # What points leave a source short of: some slots a source, whatever its size.
+    found = sources.join(per_chunk.groupBy("sid").agg(F.sum("_n").alias("_n")), "sid", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter("_n < slots")
+    late = found.select("sid", F.explode(F.sequence("_n", F.col("slots") - 1)).alias("rank"))
+    late = late.select((F.row_number().over(Window.orderBy("rank", "sid")) - 1 + n_slots).cast("long").alias("slot"), "sid", "rank")
+    every = ranked.unionByName(late).join(sources.select("sid", "source_size", "quota", "slots"), "sid").filter("rank < slots")
     n_blocks = F.ceil(F.col("source_size") / block_words)
-    ranked = ranked.withColumn("block", F.pmod("rank", n_blocks)).withColumn("pass", F.floor(F.col("rank") / n_blocks))
-    return ranked.filter(F.col("pass") < MAX_PASSES).select("slot", "sid", "rank", "block", "pass")
+    every = every.withColumn("block", F.pmod("rank", n_blocks)).withColumn("_pass", F.floor(F.col("rank") / n_blocks))
+    left = F.col("quota") - F.col("_pass") * F.col("source_size") - F.col("block") * block_words
+    whole = F.least(F.lit(block_words), F.col("source_size") - F.col("block") * block_words)
+    return every.select("slot", "sid", "rank", "block", F.least(whole, left).alias("words"))
 
 
-def streams(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each row (doc_id, source, size) with its place [start, start + size) of each row in its source's shuffled stream."""
+def streams(spark: SparkSession, rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Each row (doc_id, source, size) with its place [start, start + size) in its source's shuffled stream."""
     named = sources.select(F.col("source").alias("_name"), "sid", "source_size", "target")
     rows = rows.join(named, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    rows = rows.withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("_bucket", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
-    totals = rows.groupBy("sid", "_bucket").agg(F.sum("size").alias("_words"))
-    before = F.coalesce(F.sum("_words").over(Window.partitionBy("sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select("sid", "_bucket", before.alias("_before"))
-    own = Window.partitionBy("sid", "_bucket").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_upto", F.sum("size").over(own)).join(totals, ["sid", "_bucket"]).withColumn("start", F.col("_before") + F.col("_upto") - F.col("size")).drop("_hash", "_bucket", "_upto", "_before")
+    rows = rows.withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    return running(spark, rows, ["sid"], ["_hash", "doc_id", "size", "_row"], "size", "streams").withColumnRenamed("before", "start").drop("_hash")
 
 
 def pieces(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row for each document and block that it reaches into, with the words it has there."""
+    """A row for each document and block that it reaches into: where in the block it begins and ends."""
     end = F.col("start") + F.col("size")
     each = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))))
-    low = F.greatest(F.col("start"), F.col("block") * block_words)
-    high = F.least(end, (F.col("block") + 1) * block_words)
-    return each.withColumn("words", high - low).withColumn("offset", low - F.col("start"))
+    base = F.col("block") * block_words
+    return each.withColumn("begin", F.greatest(F.col("start") - base, F.lit(0))).withColumn("end", F.least(end - base, F.lit(block_words)))
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, *carried: str) -> tuple[DataFrame, DataFrame]:
     """(a row for each document with what the mix takes of it and the carried columns, the schedule)."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carried)
-    rows = cut(spark, rows, "sizes").withColumn("_row", F.monotonically_increasing_id())
-    sources = cut(spark, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), *carried)
+    rows = cut(spark, rows.withColumn("_row", F.monotonically_increasing_id()), "sizes")
+    sources = cut(spark, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), block_words), "targets")
     slots = schedule(spark, sources, block_words)
-    takes = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    placed = cut(spark, streams(rows, sources), "streams")
-    taken = pieces(placed, block_words).join(takes, ["sid", "block"]).groupBy("_row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    takes = slots.groupBy("sid", "block", "words").agg(F.count(F.lit(1)).alias("times"))
+    placed = cut(spark, streams(spark, rows, sources), "places")
+    each = pieces(placed, block_words).join(takes, ["sid", "block"])
+    served = F.greatest(F.least("end", "words") - F.col("begin"), F.lit(0)) * F.col("times")
+    taken = each.groupBy("_row").agg(F.sum(served).alias("taken"))
     return placed.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "source", "start", "_row", *carried), slots
 
 
@@ -140,17 +148,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document is whole or absent: ``taken / size`` is rounded to whole copies.
     Documents without words have no part in a mix by words and stay once. Each row
-    has its own decision, also if ``doc_id`` is null or repeated; rows equal in
-    ``doc_id``, ``source`` and text are interchangeable.
+    has its own decision, also if ``doc_id`` is null or repeated.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    rows, _ = mix(keyed, BLOCK_WORDS, "_key")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_key").orderBy(F.lit(1)))
+    staged = numbered(spark, docs, "mixed")
+    rows, _ = mix(staged.select("id", "row.doc_id", "row.source", "row.text"), BLOCK_WORDS, "id")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size")).cast("int"))
-    counts = rows.withColumn("_n", nth).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_key").alias("_k"), "_n", copies.alias("_copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_k")) & (F.col("_nth") == F.col("_n"))
-    kept = keyed.withColumn("_nth", nth).join(counts, same).filter("_copies > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    counts = rows.select("id", copies.alias("copies")).filter("copies > 0")
+    return staged.join(counts, "id").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 SQL = r"""
@@ -167,25 +171,12 @@ marked AS (SELECT *, cap * (weights - used) <= weight * (words - taken_up) AS is
 level AS (
   SELECT *, words - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER () AS rest, sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () AS open FROM marked),
 aimed AS (SELECT *, CASE WHEN is_full THEN cap::DOUBLE ELSE (weight * rest)::DOUBLE / open END AS target FROM level),
-bounds AS (
-  SELECT *, CASE WHEN sid = max(sid) OVER () THEN 4294967296 ELSE coalesce(floor(sum(target) OVER (ORDER BY sid) / sum(target) OVER () * 4294967296), 0)::BIGINT END AS high FROM aimed),
-sources AS (SELECT *, coalesce(lag(high) OVER (ORDER BY sid), 0) AS low FROM bounds),
-points AS (
-  SELECT k, ((k & 2147483647) * 2654435769) & 4294967295 AS point
-  FROM (SELECT unnest(range(0, (SELECT (sum(size)::BIGINT + 31) // 32 FROM sized))) AS k)),
-ranked AS (
-  SELECT sid, source_size, row_number() OVER (PARTITION BY sid ORDER BY k) - 1 AS r
-  FROM points JOIN sources ON point >= low AND point < high),
-takes AS (
-  SELECT sid, r % ((source_size + 31) // 32) AS block, count(*) AS times FROM ranked
-  WHERE r // ((source_size + 31) // 32) < 3 GROUP BY ALL),
+sources AS (SELECT *, round(target)::BIGINT AS quota FROM aimed),
 placed AS (
-  SELECT d.doc_id, d.size, s.sid, s.source_size, s.target, row_number() OVER () AS rid,
+  SELECT d.doc_id, d.size, s.source_size, s.target, s.quota,
     sum(d.size) OVER (PARTITION BY s.sid ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
-  FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source),
-cuts AS (
-  SELECT rid, sid, block, least(start + size, (block + 1) * 32) - greatest(start, block * 32) AS words
-  FROM (SELECT *, unnest(range((start // 32)::BIGINT, ((start + size - 1) // 32)::BIGINT + 1)) AS block FROM placed WHERE size > 0)),
-summed AS (SELECT rid, sum(words * times) AS taken FROM cuts JOIN takes USING (sid, block) GROUP BY rid)
-SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN summed USING (rid)
+  FROM sized d JOIN sources s ON d.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (quota // greatest(source_size, 1) * size + least(greatest(quota % greatest(source_size, 1) - start, 0), size))::BIGINT AS taken
+FROM placed
 """

@@ -21,7 +21,10 @@ ROWS = [
     (10, "1234 -- ++", "en", "￿", 10),
 ]
 #: Names that the operators use inside.
-CLASHING = ("size", "shard", "slot", "c", "n", "target", "sid", "_row", "_copies", "key", "items", "score", "lang_pred", "_text", "_id", "_old")
+CLASHING = (
+    "size", "shard", "slot", "c", "n", "target", "sid", "_row", "_copies", "key", "items", "score", "lang_pred", "_text", "_id", "_old", "_bad", "_block", "_size", "_crc", "_key", "_n",
+    "row", "id", "me", "bad", "kept", "block", "before", "_range", "_sum", "_earlier", "_own", "component_id", "text_key", "old_shard", "copies", "begin", "end", "words", "a.b",
+)
 
 
 @pytest.fixture(params=["rows", "empty"])
@@ -59,16 +62,21 @@ def test_empty_benchmark_leaves_documents_clean(spark):
 
 
 @pytest.mark.parametrize("rows", [ROWS, []])
-def test_stages_keep_the_columns(spark, tmp_path, rows):
+def test_stages_keep_the_columns_and_their_values(spark, tmp_path, rows):
     sf_dir = write_tables(spark, tmp_path, rows, [(1, "alpha beta")])
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("size", F.lit(1)).withColumn("c", F.lit("x"))
-    for stage in (language.stage, jaccard.stage, decontaminate.stage, mixing.stage):
-        out = stage(spark, docs, sf_dir)
-        assert out.columns == docs.columns
-        out.collect()
-    last = sharding.stage(spark, docs, sf_dir)
-    assert last.columns == [*docs.columns, "shard", "slot"]
-    assert last.count() == len(rows)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.coalesce("text", F.lit("null"))) for c in CLASHING})
+    whole = {tuple(r) for r in docs.collect()}
+    for k, stage in enumerate((language.stage, jaccard.stage, decontaminate.stage, mixing.stage)):
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/out{k}")
+        out = spark.read.parquet(f"{tmp_path}/out{k}")
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= whole
+        assert not rows or out.count()
+    sharding.stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/last")
+    last = spark.read.parquet(f"{tmp_path}/last")
+    others = [c for c in docs.columns if c not in ("shard", "slot")]
+    assert last.columns == [*others, "shard", "slot"] and last.count() == len(rows)
+    quoted = [f"`{c}`" for c in others]
+    assert {tuple(r) for r in last.select(quoted).collect()} == {tuple(r) for r in docs.select(quoted).collect()}
 
 
 def test_mixing_values_of_the_edges(spark):
