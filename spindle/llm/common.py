@@ -56,6 +56,15 @@ def cut(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``cut`` wrote, once nothing reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone; other letters stay as they are."""
     return F.translate(c, UPPER, LOWER)
@@ -169,7 +178,7 @@ def numbered(spark: SparkSession, docs: DataFrame, label: str) -> DataFrame:
 
 
 def running(spark: SparkSession, rows: DataFrame, group: list[str], order: list[str], amount: str | None, label: str) -> DataFrame:
-    """``rows`` with ``before``: the sum of ``amount`` (or number of rows) that stands before each in its group.
+    """``rows`` with ``before``: the sum of ``amount`` (or number of rows) that stands before each in its group; written.
 
     Rows are dealt to tasks by ranges of group and order, so that a group of any
     size is spread; only a sum for each group and range is added up in order.
@@ -182,7 +191,9 @@ def running(spark: SparkSession, rows: DataFrame, group: list[str], order: list[
     sums = sums.select(*group, "_range", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
     own = F.sum(amount or F.lit(1)).over(Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     out = dealt.withColumn("_own", F.coalesce(own, F.lit(0))).join(sums, [*group, "_range"])
-    return out.withColumn("before", F.col("_earlier") + F.col("_own")).drop("_range", "_own", "_earlier")
+    out = cut(spark, out.withColumn("before", F.col("_earlier") + F.col("_own")).drop("_range", "_own", "_earlier"), label)
+    discard(dealt)
+    return out
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

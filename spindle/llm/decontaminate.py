@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FIRST, SECOND, WORD_BYTES, cut, run_hashes, table, tidy
+from .common import FIRST, SECOND, WORD_BYTES, cut, discard, run_hashes, table, tidy
 
 WINDOW = 13
 SHARD_WORDS = 500_000
@@ -282,6 +282,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, slop: int = 0, block_bytes: int
         found = found.unionByName(_hits(spark, index, phrases, slop))
     both = found.groupBy("shard", "place").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     each = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "keys", "lens")).alias("place", "doc")).select("shard", "place", "doc.doc_ids", "doc.keys", F.col("doc.lens").cast("long").alias("n_words"))
+    each = cut(spark, each, "lengths")
+    discard(index)
     rows = each.join(both.mapInArrow(tidy(_merged), HITS), ["shard", "place"], "left")
     none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>"))
     return rows.select(F.col("doc_ids").alias("doc_id"), F.col("keys").alias("key"), "n_words", none(F.col("spans"), "int").alias("spans"), none(F.col("items"), "string").alias("items"))

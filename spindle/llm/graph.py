@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,7 +38,8 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
     at = cut(spark, edges.select("a", "b").filter("a <> b").distinct(), "edges")
     seen = tuple(at.agg(*mark).head())
     for _ in range(most_rounds):
-        at = cut(spark, _stars(_stars(at, large=True), large=False), "edges")
+        before, at = at, cut(spark, _stars(_stars(at, large=True), large=False), "edges")
+        discard(before)
         now = tuple(at.agg(*mark).head())
         if now == seen:
             return at.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -57,7 +57,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACED_BYTES, cut, run_hashes, table, tidy
+from .common import SPACED_BYTES, cut, discard, run_hashes, table, tidy
 from .graph import components
 
 SHINGLE = 5
@@ -534,7 +534,9 @@ def _connecting(spark: SparkSession, source: Source, tiles: DataFrame, reps: Dat
     links = _verify(source, cut(spark, _bound(met, reps), "bounded"), reps)
     found = components(spark, links)
     held = cut(spark, _mixed(tiles, found, block), "mixed")
+    discard(tiles)
     near = cut(spark, _dealt(held, reps, firsts=False).mapInArrow(tidy(_nearest), "tok long, c long, n long, o long, apart long"), "nearest")
+    discard(held)
     best = near.groupBy("c").agg(F.min(F.struct("apart", "o")).alias("m")).select(F.least("c", "m.o").alias("a"), F.greatest("c", "m.o").alias("b")).distinct()
     late = _verify(source, cut(spark, best.join(met, ["a", "b"], "left_anti"), "best"), reps)
     if not late.isEmpty():
@@ -542,7 +544,9 @@ def _connecting(spark: SparkSession, source: Source, tiles: DataFrame, reps: Dat
         found = components(spark, links)
     # Bitmaps and components leave a row without a partner in its tile once and for all.
     held = cut(spark, _mixed(near.select("tok", "c", "n").distinct(), found, block), "mixed")
+    discard(near)
     left = cut(spark, _dealt(held, reps).mapInArrow(tidy(_open), "tok long, one long, two long, block long, c long, n long, comp long"), "open")
+    discard(held)
     with _items(source, left.select("c").distinct(), reps) as items:
         if items is not None:
             late = cut(spark, _dealt(left, reps, items).mapInArrow(tidy(_forests), LINKS), "links")
@@ -556,7 +560,9 @@ def _every(spark: SparkSession, source: Source, tiles: DataFrame, reps: DataFram
     """All links, and the components. As long as each class is its own component, no tile and no pair is left out."""
     alone = reps.select(F.col("c").alias("node"), F.col("c").alias("component"))
     held = cut(spark, _mixed(tiles, alone, block), "every")
+    discard(tiles)
     pairs = cut(spark, _dealt(held, reps).mapInArrow(tidy(_tiles), "a long, b long").distinct(), "pairs")
+    discard(held)
     links = _verify(source, pairs, reps)
     return links, components(spark, links)
 
@@ -641,10 +647,10 @@ def _items(source: Source, ends: DataFrame, reps: DataFrame) -> Iterator[DataFra
         yield None
         return
     shared = spark.sparkContext.broadcast(bits)
-    try:
-        yield cut(spark, arrays(source, shared).join(ends, "c", "left_semi").groupBy("c").agg(F.first("items").alias("items")), "arrays")
-    finally:
-        shared.destroy()
+    items = cut(spark, arrays(source, shared).join(ends, "c", "left_semi").groupBy("c").agg(F.first("items").alias("items")), "arrays")
+    shared.destroy()
+    yield items
+    discard(items)
 
 
 def _verify(source: Source, pairs: DataFrame, reps: DataFrame) -> DataFrame:

@@ -56,9 +56,9 @@ def hashes_of(lines: Column) -> Column:
 
 
 def keys_of(docs: DataFrame) -> DataFrame:
-    """doc_id, h1, h2: a row for each distinct key of each row of ``docs``."""
+    """doc_id, t, h1, h2: a row for each distinct key of each row of ``docs``; t names the text."""
     keys = F.array_distinct(F.array_compact(hashes_of(lines_of(F.col("text")))))
-    return docs.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.h1", "k.h2")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), F.explode(keys).alias("k")).select("doc_id", "t", "k.h1", "k.h2")
 
 
 class LineRuns:
@@ -143,10 +143,10 @@ def dedup(docs: DataFrame, n_batches: int = BATCHES, fanout: int = FANOUT, min_d
     runs = LineRuns(spark, fanout=fanout)
     for batch in batches(keys, n_batches):
         runs.add(batch)
-    # Which documents lose which keys; a document's list is no longer than its lines.
+    # Which documents lose which keys; rows of one id and text have one list, no longer than their lines.
     lost = keys.join(runs.frequent(min_docs), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    lost = lost.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_lost"))
-    rows = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_id"]), "left").withColumn("_lines", lines_of(F.col("text")))
+    lost = lost.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("h1", "h2")).alias("_lost"))
+    rows = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_id"]) & (F.xxhash64(docs["text"]) == lost["_t"]), "left").withColumn("_lines", lines_of(F.col("text")))
     zipped = F.arrays_zip(F.col("_lines").alias("line"), hashes_of(F.col("_lines")).alias("h"))
     stays = F.filter(zipped, lambda z: ~F.coalesce(F.array_contains(F.col("_lost"), z["h"]), F.lit(False)))
     kept = F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(F.transform(stays, lambda z: z["line"]))

@@ -6,7 +6,9 @@ they stand. Chunks carry SHA-256 digests. A Spark aggregation over digests
 finds the chunks that several documents share; each of those is stored once,
 under its digest, and documents hold ordered chunk lists that point at it.
 Chunks that no other document has stay packed with their document's list, so
-the bulk of the bytes is written once and never shuffled. Reading back joins
+the bulk of the bytes is written once and never shuffled. ``media_bytes`` and
+``media_sha256`` describe the canonical export form of a payload (its chunk list
+with all chunk bodies), made of what was read back, not of a stored object. Reading back joins
 the shared chunks to the lists, puts each payload together in order and checks
 every digest; a chunk that is missing or altered raises ``ValueError``.
 
@@ -37,8 +39,10 @@ from .common import cut, table
 
 FRAME = 192
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 256, 8192, 10
-#: 16 bytes of digest prefix and owner a shared chunk: 64 MB at most.
-SHARED_LIMIT = 4_000_000
+#: 24 bytes of digest and owner a shared chunk: 72 MB at most.
+SHARED_LIMIT = 3_000_000
+#: A chunk that more than one of so many references means is hot, and dealt to so many tasks.
+HOT_SHARE, HOT_PARTS = 1000, 64
 MAGIC = b"CDC1"
 
 STORED = "kind byte, row_key binary, doc_id long, n_bytes long, refs array<struct<digest: binary, len: int, own: boolean>>, body binary"
@@ -137,7 +141,7 @@ def _batches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-LISTED = pa.schema([("prefix", pa.int64()), ("owner", pa.int64())])
+LISTED = pa.schema([("name", pa.binary()), ("owner", pa.int64())])
 STORED_ARROW = pa.schema([
     ("kind", pa.int8()), ("row_key", pa.binary()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()),
     ("refs", pa.list_(pa.struct([("digest", pa.binary()), ("len", pa.int32()), ("own", pa.bool_())]))), ("body", pa.binary()),
@@ -148,29 +152,35 @@ RESULT_ARROW = pa.schema([
 ])
 
 
-def _short(b: bytes) -> int:
-    return int.from_bytes(b[:8], "little", signed=True)
+def _name(digest: bytes) -> bytes:
+    """What a chunk is found by among the shared ones: 128 bits of its digest."""
+    return digest[:16]
+
+
+def _owner(key: bytes) -> int:
+    """A row by 64 bits: rows that clash would each store what they share, and the copies go when read."""
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest prefix, owner prefix) of every distinct chunk of every row."""
+    """(name, owner) of every distinct chunk of every row."""
     for batch in batches:
-        prefix, owner = [], []
+        name, owner = [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             payload, _ = payload_of(text.as_py())
-            found = {_short(d) for d, _ in chunked(payload)}
-            prefix.extend(found)
-            owner.extend([_short(row_key(doc_id, payload))] * len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(prefix, pa.int64()), pa.array(owner, pa.int64())], schema=LISTED)
+            found = {_name(d) for d, _ in chunked(payload)}
+            name.extend(found)
+            owner.extend([_owner(row_key(doc_id, payload))] * len(found))
+        yield pa.RecordBatch.from_arrays([pa.array(name, pa.binary()), pa.array(owner, pa.int64())], schema=LISTED)
 
 
 def _stored_rows(doc_id, text, owner_of) -> Iterator[tuple]:
     """The list of one row with its own chunks, and the shared chunks that it owns."""
     payload, n = payload_of(text)
     key = row_key(doc_id, payload)
-    me, refs, body, given = _short(key), [], [], set()
+    me, refs, body, given = _owner(key), [], [], set()
     for digest, piece in chunked(payload):
-        owner = owner_of(_short(digest))
+        owner = owner_of(_name(digest))
         refs.append({"digest": digest, "len": len(piece), "own": owner is None})
         if owner is None:
             body.append(piece)
@@ -196,29 +206,32 @@ def store(docs: DataFrame, shared_limit: int = SHARED_LIMIT) -> DataFrame:
     """The store of all rows' payloads: kind 0 are chunk lists, kind 1 shared chunks, each once."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    listed = docs.mapInArrow(list_chunks, "prefix long, owner long")
-    shared = listed.groupBy("prefix").agg(F.min("owner").alias("owner"), F.max("owner").alias("_last"), F.count(F.lit(1)).alias("_n"))
-    shared = cut(spark, shared.filter("_n > 1").select("prefix", "owner"), "shared")
+    listed = docs.mapInArrow(list_chunks, "name binary, owner long")
+    shared = listed.groupBy("name").agg(F.min("owner").alias("owner"), F.count(F.lit(1)).alias("_n"))
+    shared = cut(spark, shared.filter("_n > 1").select("name", "owner"), "shared")
     if shared.count() <= shared_limit:
-        pairs = shared.orderBy("prefix").toPandas()
-        table_ = spark.sparkContext.broadcast((pairs["prefix"].to_numpy(np.int64), pairs["owner"].to_numpy(np.int64)))
+        pairs = shared.toArrow()
+        name = np.array(pairs.column("name").to_pylist(), "S16")
+        order = np.argsort(name)
+        table_ = spark.sparkContext.broadcast((name[order], pairs.column("owner").to_numpy()[order]))
 
         def by_broadcast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            prefix, owner = table_.value
+            name, owner = table_.value
 
-            def owner_of(p: int):
-                k = int(np.searchsorted(prefix, p))
-                return int(owner[k]) if k < len(prefix) and prefix[k] == p else None
+            def owner_of(p: bytes):
+                p = np.bytes_(p)
+                k = int(np.searchsorted(name, p))
+                return int(owner[k]) if k < len(name) and name[k] == p else None
 
             yield from _emit(r for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for r in _stored_rows(i, t.as_py(), owner_of))
 
         return docs.mapInArrow(by_broadcast, STORED)
     named = docs.mapInArrow(_with_key, "me long, doc_id long, text string")
-    marks = listed.join(shared.withColumnRenamed("owner", "first"), "prefix").groupBy(F.col("owner").alias("me")).agg(F.collect_set(F.struct("prefix", "first")).alias("marks"))
+    marks = listed.join(shared.withColumnRenamed("owner", "first"), "name").groupBy(F.col("owner").alias("me")).agg(F.collect_set(F.struct("name", "first")).alias("marks"))
 
     def by_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            owners = [{m["prefix"]: m["first"] for m in x or ()} for x in b.column(2).to_pylist()]
+            owners = [{m["name"]: m["first"] for m in x or ()} for x in b.column(2).to_pylist()]
             yield from _emit(r for i, t, own in zip(b.column(0).to_pylist(), b.column(1), owners, strict=True) for r in _stored_rows(i, t.as_py(), own.get))
 
     return named.join(marks, "me", "left").select("doc_id", "text", "marks").mapInArrow(by_join, STORED)
@@ -226,7 +239,7 @@ def store(docs: DataFrame, shared_limit: int = SHARED_LIMIT) -> DataFrame:
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        me = [_short(row_key(i, payload_of(t.as_py())[0])) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+        me = [_owner(row_key(i, payload_of(t.as_py())[0])) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(me, pa.int64()), b.column(0).cast(pa.int64()), b.column(1).cast(pa.string())], names=["me", "doc_id", "text"])
 
 
@@ -256,6 +269,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batches(rows, RESULT_ARROW)
 
 
+def _salted(wanted: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ``part``: references to a hot chunk are dealt over parts, each of which has a copy of it.
+
+    A chunk is hot by its share of all references, so fewer than HOT_SHARE are.
+    """
+    total = wanted.count()
+    hot = wanted.groupBy("digest").count().filter((F.col("count") * HOT_SHARE > total) & (F.col("count") > HOT_PARTS)).select("digest", F.lit(HOT_PARTS).alias("parts"))
+    hot = F.broadcast(wanted.sparkSession.createDataFrame(hot.collect(), "digest binary, parts int"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = wanted.join(hot, "digest", "left").select("_row", "digest", F.pmod(F.xxhash64("_row"), parts).cast("int").alias("part"))
+    return dealt, chunks.join(hot, "digest", "left").select("digest", "chunk", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+
+
 def read_back(stored: DataFrame) -> DataFrame:
     """Every payload of the store, put together from its chunk list and verified."""
     lists = stored.filter("kind = 0").withColumn("_row", F.monotonically_increasing_id())
@@ -263,7 +289,8 @@ def read_back(stored: DataFrame) -> DataFrame:
     mixed = lists.filter(F.exists("refs", lambda r: ~r["own"]))
     chunks = stored.filter("kind = 1").dropDuplicates(["row_key"]).select(F.col("row_key").alias("digest"), F.col("body").alias("chunk"))
     wanted = mixed.select("_row", F.explode(F.array_distinct(F.transform(F.filter("refs", lambda r: ~r["own"]), lambda r: r["digest"]))).alias("digest"))
-    got = wanted.join(chunks, "digest").groupBy("_row").agg(F.collect_list(F.struct("digest", F.col("chunk").alias("body"))).alias("chunks"))
+    wanted, chunks = _salted(cut(stored.sparkSession, wanted, "wanted"), chunks)
+    got = wanted.join(chunks, ["digest", "part"]).groupBy("_row").agg(F.collect_list(F.struct("digest", F.col("chunk").alias("body"))).alias("chunks"))
     mixed = mixed.join(got, "_row", "left").select("doc_id", "n_bytes", "refs", "body", "chunks")
     none = F.lit(None).cast("array<struct<digest: binary, body: binary>>").alias("chunks")
     alone = alone.select("doc_id", "n_bytes", "refs", "body", none)

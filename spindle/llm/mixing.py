@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, numbered, running, table
+from .common import cut, discard, numbered, running, table
 
 BLOCK_WORDS = 32
 MAX_PASSES = 3
@@ -131,7 +131,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, *carried: str) -> tuple
     sources = cut(spark, targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), block_words), "targets")
     slots = schedule(spark, sources, block_words)
     takes = slots.groupBy("sid", "block", "words").agg(F.count(F.lit(1)).alias("times"))
-    placed = cut(spark, streams(spark, rows, sources), "places")
+    placed = streams(spark, rows, sources)
+    discard(rows)
     each = pieces(placed, block_words).join(takes, ["sid", "block"])
     served = F.greatest(F.least("end", "words") - F.col("begin"), F.lit(0)) * F.col("times")
     taken = each.groupBy("_row").agg(F.sum(served).alias("taken"))

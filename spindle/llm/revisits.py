@@ -7,9 +7,10 @@ the dates of last modification. The resolved record has the response's headers,
 replaced by those that a 304 answer may update.
 
 The as-of join takes no group whole: a URL's records are dealt to ``BUCKETS``
-ranges of time; within a range a window finds the response, and a table with
-the last response of each range (at most ``BUCKETS`` rows a URL) carries it to
-later ranges. Bodies never move; the result names the response's record.
+ranges of time, bounded by quantiles of all records' times; within a range a
+window finds the response, and a table with the last response of each range (at
+most ``BUCKETS`` rows a URL) carries it to later ranges. Records without URL or
+time go past all this. Bodies never move; the result names the response's record.
 
 Defined cases: a record without URL or time resolves to nothing; a response at
 the very time of the revisit is not earlier; of responses at one time the one
@@ -60,23 +61,24 @@ def as_of(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """
     kept = ("record_id", "ts", "kind", "digest", "url")
     rows = records.select(*kept, _lowered(F.col("headers")).alias("headers")).withColumn("canonical", canonical_url(F.col("url")))
-    span = records.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).head()
-    low = span.low or 0
-    width = max(1, -(-((span.high or 0) - low + 1) // buckets))
-    rows = rows.withColumn("_bucket", F.floor((F.col("ts") - low) / width))
+    placed = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
+    aside, rows = rows.filter(~placed), rows.filter(placed)
+    at = records.agg(F.percentile_approx("ts", [k / buckets for k in range(1, buckets)], 20 * buckets)).head()[0] if buckets > 1 else None
+    bounds = F.lit(sorted(set(at or []))).cast("array<long>")
+    rows = rows.withColumn("_bucket", F.size(F.filter(bounds, lambda b: b <= F.col("ts"))))
     whole = F.struct("record_id", "ts", "digest", "headers")
-    usable = F.col("kind").eqNullSafe("response") & F.col("ts").isNotNull() & F.col("canonical").isNotNull()
+    usable = F.col("kind").eqNullSafe("response")
     last = rows.filter(usable).groupBy("canonical", "_bucket").agg(F.max_by(whole, F.struct("ts", "record_id")).alias("_last"))
     # The ranges in which a URL has any record, with what earlier ranges leave.
-    ranges = rows.filter("canonical IS NOT NULL AND ts IS NOT NULL").select("canonical", "_bucket").distinct().join(last, ["canonical", "_bucket"], "left")
+    ranges = rows.select("canonical", "_bucket").distinct().join(last, ["canonical", "_bucket"], "left")
     before = Window.partitionBy("canonical").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = ranges.select("canonical", "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     # A revisit goes before a response of its own time, so that it does not see it.
     inside = Window.partitionBy("canonical", "_bucket").orderBy("ts", F.when(usable, 1).otherwise(0), "record_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = rows.withColumn("_seen", F.last(F.when(usable, whole), ignorenulls=True).over(inside)).filter(F.col("kind").eqNullSafe("revisit"))
-    placed = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
-    found = seen.join(carried, ["canonical", "_bucket"], "left").withColumn("found", F.when(placed, F.coalesce("_seen", "_carried")))
-    return found.drop("_seen", "_carried", "_bucket")
+    found = seen.join(carried, ["canonical", "_bucket"], "left").withColumn("found", F.coalesce("_seen", "_carried")).drop("_seen", "_carried", "_bucket")
+    none = aside.filter(F.col("kind").eqNullSafe("revisit")).withColumn("found", F.lit(None).cast(found.schema["found"].dataType))
+    return found.unionByName(none)
 
 
 def _weak(tag: Column) -> Column:

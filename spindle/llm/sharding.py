@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, numbered, running, table
+from .common import cut, discard, numbered, running, table
 
 N_SHARDS = 16
 BLOCKS = 1024
@@ -162,7 +162,7 @@ def assign(spark: SparkSession, rows: DataFrame, capacities: list[int] | None =
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("long"))
     base = rows.select("id", F.col("doc_id").cast("long").alias("doc_id"), F.col("old_shard").cast("int").alias("old_shard"), size.alias("size"), crc.alias("text_crc32"))
-    base = cut(spark, base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int")), "blocks")
+    written = base = cut(spark, base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int")), "blocks")
     per_block = lambda df: [tuple(r) for r in df.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).collect()]
     found = per_block(base)
     total = sum(x[2] for x in found)
@@ -176,6 +176,7 @@ def assign(spark: SparkSession, rows: DataFrame, capacities: list[int] | None =
     plan = solve(found, capacities)
     where = F.broadcast(spark.createDataFrame([(s, b, to) for (s, b), to in plan.moves.items()], PLAN_SCHEMA))
     placed = running(spark, base.join(where, ["old_shard", "block"]), ["shard"], ["old_shard", "block", "doc_id", "text_crc32", "size", "id"], None, "slots")
+    discard(written)
     return placed.select("id", "doc_id", "size", "text_crc32", "old_shard", "shard", F.col("before").cast("long").alias("slot")), plan
 
 

@@ -7,6 +7,10 @@ place it touches, as far as the pattern may have looked, up to the first place
 after it where old and new pieces begin together; from there on nothing can
 differ. Then the sums above the touched leaves are made anew.
 
+``plant`` makes the trees of a table and ``revise`` edits kept ones: a row of a
+tree table has the text and its leaves, packed, so a later run loads the trees
+and encodes nothing but what its edits touch.
+
 Defined cases: null text has no tokens and takes no edits; an edit's ends are
 cut to the text, and an end before its start counts as the start; edits apply
 in order, each to the text that the one before it left; rows with null edits
@@ -20,13 +24,15 @@ import base64
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's pre-token pattern (fixed value of the public tokenizer).
@@ -67,11 +73,21 @@ class Tree:
     leaves[i] is (lengths, counts); chars and sums are binary heaps over the leaves.
     """
 
-    def __init__(self, text: str, count: Callable[[str], int]):
+    def __init__(self, text: str, count: Callable[[str], int], leaves: bytes | None = None):
+        """leaves: those of a kept tree of this text, which is then not encoded."""
         self.text, self.count, self.encoded = text, count, 0
-        pieces = PIECES.findall(text)
-        self._build([len(p) for p in pieces], list(map(count, pieces)))
-        self.pieces = len(pieces)
+        if leaves is None:
+            pieces = PIECES.findall(text)
+            lengths, counts = [len(p) for p in pieces], list(map(count, pieces))
+        else:
+            lengths, counts = np.frombuffer(zstandard.decompress(leaves), "<u4").reshape(2, -1).tolist()
+        self._build(lengths, counts)
+        self.pieces = len(lengths)
+
+    def packed(self) -> bytes:
+        """The leaves' lengths and counts."""
+        flat = [[x for leaf in self.leaves for x in leaf[k]] for k in range(2)]
+        return zstandard.compress(np.array(flat, "<u4").tobytes(), 1)
 
     def _build(self, lengths: list[int], counts: list[int]) -> None:
         self.leaves = [(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(lengths), LEAF)] or [([], [])]
@@ -155,32 +171,62 @@ class Tree:
             above = {k // 2 for k in above}
 
 
-RESULT = "doc_id long, n_tokens long, n_pieces long, n_tokens_after long, n_pieces_after long, n_reencoded long"
+EDITS = "array<struct<start: long, end: long, new: string>>"
+TREES = "doc_id long, text string, n_tokens long, n_pieces long, leaves binary"
+RESULT = TREES + ", n_tokens_after long, n_pieces_after long, n_reencoded long"
 
 
-def count_edited(docs: DataFrame, vocabulary: str = VOCABULARY, text_after: bool = False) -> DataFrame:
-    """Counts before and after the edits of each row, and how many pieces were encoded again.
+def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches, so that not too many trees are packed at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            yield batch.slice(start, 512)
+
+
+def plant(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The trees of ``docs`` (doc_id, text), to be kept: text, its counts and leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(vocabulary).__getitem__
+        for part in _parts(batches):
+            rows = []
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                tree = Tree(text or "", count)
+                rows.append((doc_id, text, tree.tokens, tree.pieces, tree.packed()))
+            yield _arrow(rows, TREES)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TREES)
 
-    docs: doc_id, text, edits array<struct<start, end, new>>.
-    """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("edits").cast("array<struct<start: long, end: long, new: string>>").alias("edits"))
-    names = ["doc_id", "n_tokens", "n_pieces", "n_tokens_after", "n_pieces_after", "n_reencoded"] + ["text"] * text_after
+
+def revise(trees: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Kept trees with ``edits`` (array<struct<start, end, new>>) after these: text and leaves anew, the counts before
+    (n_tokens, n_pieces) and after, and how many pieces were encoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary).__getitem__
-        for batch in batches:
+        for part in _parts(batches):
             rows = []
-            for doc_id, text, edits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                tree = Tree(text.as_py() or "", count)
-                before = (tree.tokens, tree.pieces)
-                for e in (edits or ()) if text.is_valid else ():
+            for doc_id, text, tokens, pieces, leaves, edits in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                tree = Tree(text or "", count, leaves)
+                for e in (edits or ()) if text is not None else ():
                     if e is not None and e["start"] is not None:
                         tree.edit(e["start"], e["start"] if e["end"] is None else e["end"], e["new"] or "")
-                rows.append((doc_id, *before, tree.tokens, tree.pieces, tree.encoded, *[tree.text if text.is_valid else None] * text_after))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "text" else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
+                rows.append((doc_id, None if text is None else tree.text, tokens, pieces, tree.packed(), tree.tokens, tree.pieces, tree.encoded))
+            yield _arrow(rows, RESULT)
+
+    return trees.select("doc_id", "text", "n_tokens", "n_pieces", "leaves", F.col("edits").cast(EDITS).alias("edits")).mapInArrow(run, RESULT)
+
 
-    return source.mapInArrow(run, RESULT + ", text string" * text_after)
+def kept(revised: DataFrame) -> DataFrame:
+    """The tree table that ``revise`` leaves, for the next edits."""
+    return revised.select("doc_id", "text", F.col("n_tokens_after").alias("n_tokens"), F.col("n_pieces_after").alias("n_pieces"), "leaves")
 
 
 def sample_edits():
@@ -195,4 +241,7 @@ def sample_edits():
 
 
 def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_edited(table(spark, sf_dir, "documents").withColumn("edits", sample_edits()))
+    """Plants the trees of all documents, keeps them in the shared folder, and edits the kept ones."""
+    trees = cut(spark, plant(table(spark, sf_dir, "documents")), "trees")
+    out = revise(trees.withColumn("edits", sample_edits()))
+    return out.select("doc_id", "n_tokens", "n_pieces", "n_tokens_after", "n_pieces_after", "n_reencoded")

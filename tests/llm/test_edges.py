@@ -47,7 +47,7 @@ def test_operators_keep_every_row(spark, docs):
     assert mixing.mix(docs)[0].count() == n
     assert line_dedup.dedup(docs).count() == n
     assert jaccard.clusters(docs).count() == n
-    assert tokens.count_edited(docs.withColumn("edits", tokens.sample_edits())).count() == n
+    assert tokens.revise(tokens.plant(docs).withColumn("edits", tokens.sample_edits())).count() == n
     model = language.train(docs)
     assert language.predict(docs.select("doc_id", "text"), model).count() == n
     benchmark = spark.createDataFrame([(1, "alpha beta gamma"), (None, "one two"), (3, None), (4, "--")], "item_id long, text string")

@@ -33,6 +33,19 @@ def test_read_back_equals_the_payloads(spark, limit):
     assert all(len(x) == 1 for x in forms.values())
 
 
+def test_hot_chunks_are_read_in_parts(spark):
+    blob = texts()[3][1]
+    rows = [(i, blob[:3000] + f" {i}") for i in range(150)]
+    got = media.media(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(brute(*r) for r in rows)
+
+
+def test_chunks_are_named_by_128_bits():
+    text, other = "first " * 60, "second " * 60
+    names = {media._name(d) for t in (text, other) for d, _ in media.chunked(media.payload_of(t)[0])}
+    assert len(names) == 2 and all(len(n) == 16 for n in names)
+
+
 def test_shared_chunks_are_stored_once(spark):
     rows = texts()
     stored = media.store(spark.createDataFrame(rows, "doc_id long, text string")).cache()

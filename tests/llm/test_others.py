@@ -274,14 +274,30 @@ def test_edited_counts_equal_counting_anew(text, edits):
         assert tree.tokens == tree.sums[1] and tree.chars[1] == len(text)
 
 
-def test_long_texts_re_encode_little(spark):
+def test_kept_trees_are_edited_without_encoding_the_rest(spark, tmp_path):
+    """A second run loads what the first one left."""
     text = "The quick brown fox jumps over it. " * 3000
-    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").withColumn("edits", tokens.sample_edits())
-    got = {r.doc_id: r for r in tokens.count_edited(docs, text_after=True).collect()}
-    assert got[1].n_reencoded < 60 < got[1].n_pieces
+    tokens.plant(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).write.parquet(f"{tmp_path}/trees0")
     count = tokens.counter().__getitem__
-    assert got[1].n_tokens_after == sum(map(count, tokens.PIECES.findall(got[1].text)))
-    assert (got[2].n_tokens, got[2].n_tokens_after, got[2].text) == (0, 0, None)
+    for k in range(2):
+        trees = spark.read.parquet(f"{tmp_path}/trees{k}")
+        revised = tokens.revise(trees.withColumn("edits", tokens.sample_edits())).cache()
+        got = {r.doc_id: r for r in revised.collect()}
+        assert got[1].n_reencoded < 60 < got[1].n_pieces
+        assert got[1].n_tokens_after == sum(map(count, tokens.PIECES.findall(got[1].text)))
+        assert (got[2].n_tokens, got[2].n_tokens_after, got[2].text) == (0, 0, None)
+        tokens.kept(revised).write.parquet(f"{tmp_path}/trees{k + 1}")
+
+
+def test_a_kept_tree_encodes_only_what_an_edit_touches():
+    count = tokens.counter().__getitem__
+    text = "one two three, " * 500
+    leaves = tokens.Tree(text, count).packed()
+    asked = []
+    tree = tokens.Tree(text, lambda piece: asked.append(piece) or count(piece), leaves)
+    assert not asked and tree.tokens == sum(map(count, tokens.PIECES.findall(text)))
+    tree.edit(3000, 3003, "four")
+    assert 0 < len(asked) < 8 and tree.tokens == sum(map(count, tokens.PIECES.findall(tree.text)))
 
 
 # ---- revisits ----
@@ -366,3 +382,13 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert list(got[1, "c"].errors) == ["unknown tool", "arguments are no object"]
     assert list(got[1, "d"].errors) == ["query: not string", "turn: missing"]
     assert not got[2, "a"].ordered or not got[2, "b"].ordered
+
+
+def test_times_far_apart_and_missing_urls_do_not_gather(spark):
+    """One record at time 0 and the others close together; a third without URL."""
+    rows = [record(1, "http://a/", 0, "response", "d0")]
+    rows += [record(10 + i, "http://a/", 10**12 + i, "revisit" if i % 2 else "response", f"d{i // 2}") for i in range(200)]
+    rows += [record(1000 + i, None, 10**12 + i, "revisit") for i in range(100)]
+    found = revisits.as_of(spark.createDataFrame(rows, RECORD), 16)
+    got = {r.record_id: r.found.record_id if r.found else None for r in found.collect()}
+    assert got == {**{10 + i: 9 + i for i in range(1, 200, 2)}, **{1000 + i: None for i in range(100)}}
