@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -65,6 +66,16 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver collects garbage, which a driver with room to spare
+    puts off while executors' disks fill.
+    """
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone; other letters stay as they are."""
     return F.translate(c, UPPER, LOWER)

@@ -57,7 +57,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACED_BYTES, cut, discard, run_hashes, table, tidy
+from .common import SPACED_BYTES, cut, discard, release, run_hashes, table, tidy
 from .graph import components
 
 SHINGLE = 5
@@ -518,7 +518,9 @@ def join(docs: DataFrame, block: int = BLOCK, every: bool = False, first_bits: i
     shared = spark.sparkContext.broadcast(common)
     tiles = _tile_rows(spark, prefixes(source, shared))
     shared.destroy()
+    release(spark)
     links, found = _every(spark, source, tiles, reps, block) if every else _connecting(spark, source, tiles, reps, block)
+    release(spark)
     named = reps.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", "rep", F.coalesce("component", "c").alias("_comp"))
     least = named.groupBy("_comp").agg(F.min("rep").alias("component"))
     return Join(documents, links, named.join(least, "_comp").select("c", "rep", "component"))
@@ -535,6 +537,7 @@ def _connecting(spark: SparkSession, source: Source, tiles: DataFrame, reps: Dat
     found = components(spark, links)
     held = cut(spark, _mixed(tiles, found, block), "mixed")
     discard(tiles)
+    release(spark)
     near = cut(spark, _dealt(held, reps, firsts=False).mapInArrow(tidy(_nearest), "tok long, c long, n long, o long, apart long"), "nearest")
     discard(held)
     best = near.groupBy("c").agg(F.min(F.struct("apart", "o")).alias("m")).select(F.least("c", "m.o").alias("a"), F.greatest("c", "m.o").alias("b")).distinct()

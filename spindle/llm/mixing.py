@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, discard, numbered, running, table
+from .common import cut, discard, numbered, release, running, table
 
 BLOCK_WORDS = 32
 MAX_PASSES = 3
@@ -151,6 +151,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words have no part in a mix by words and stay once. Each row
     has its own decision, also if ``doc_id`` is null or repeated.
     """
+    release(spark)
     staged = numbered(spark, docs, "mixed")
     rows, _ = mix(staged.select("id", "row.doc_id", "row.source", "row.text"), BLOCK_WORDS, "id")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size")).cast("int"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, discard, numbered, running, table
+from .common import cut, discard, numbered, release, running, table
 
 N_SHARDS = 16
 BLOCKS = 1024
@@ -210,6 +210,7 @@ def op7_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the documents with their shard and slot, instead of columns of these names."""
+    release(spark)
     staged = numbered(spark, docs.drop("shard", "slot"), "sharded")
     out, _ = assign(spark, staged.select("id", "row.doc_id", F.col("row.text").cast("string").alias("text"), old_layout(F.col("row.source")).alias("old_shard")))
     return staged.join(out.select("id", "shard", "slot"), "id").select("row.*", "shard", "slot")
