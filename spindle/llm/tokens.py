@@ -80,14 +80,15 @@ class Tree:
             pieces = PIECES.findall(text)
             lengths, counts = [len(p) for p in pieces], list(map(count, pieces))
         else:
-            lengths, counts = np.frombuffer(zstandard.decompress(leaves), "<u4").reshape(2, -1).tolist()
+            planes = np.frombuffer(zstandard.decompress(leaves), np.uint8).reshape(4, -1)
+            lengths, counts = planes.T.copy().view("<u4").reshape(2, -1).tolist()
         self._build(lengths, counts)
         self.pieces = len(lengths)
 
     def packed(self) -> bytes:
-        """The leaves' lengths and counts."""
+        """The leaves' lengths and counts, as planes of bytes, of which the upper ones are nearly empty."""
         flat = [[x for leaf in self.leaves for x in leaf[k]] for k in range(2)]
-        return zstandard.compress(np.array(flat, "<u4").tobytes(), 1)
+        return zstandard.compress(np.array(flat, "<u4").reshape(-1, 1).view(np.uint8).T.copy().tobytes(), 3)
 
     def _build(self, lengths: list[int], counts: list[int]) -> None:
         self.leaves = [(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(lengths), LEAF)] or [([], [])]
@@ -242,6 +243,6 @@ def sample_edits():
 
 def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plants the trees of all documents, keeps them in the shared folder, and edits the kept ones."""
-    trees = cut(spark, plant(table(spark, sf_dir, "documents")), "trees")
+    trees = cut(spark, plant(table(spark, sf_dir, "documents")), "trees", compression="zstd")
     out = revise(trees.withColumn("edits", sample_edits()))
     return out.select("doc_id", "n_tokens", "n_pieces", "n_tokens_after", "n_pieces_after", "n_reencoded")
