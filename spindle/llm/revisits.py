@@ -10,7 +10,7 @@ The as-of join takes no group whole: a URL's records are dealt to ``BUCKETS``
 ranges of time, bounded by quantiles of all records' times; within a range a
 window finds the response, and a table with the last response of each range (at
 most ``BUCKETS`` rows a URL) carries it to later ranges. Records without URL or
-time go past all this. Bodies never move; the result names the response's record.
+time are dealt by hash and resolve to nothing. Bodies never move; the result names the response's record.
 
 Defined cases: a record without URL or time resolves to nothing; a response at
 the very time of the revisit is not earlier; of responses at one time the one
@@ -54,6 +54,15 @@ def _lowered(headers: Column) -> Column:
     return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["key"] == n), -1)["value"]))
 
 
+def _range_of(ts: Column, bounds: list[int], step: int = 16) -> Column:
+    """A number that grows with the bounds at or below ``ts``, found among every ``step``-th bound first."""
+    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)] or [[]]
+    below = lambda some: F.size(F.filter(some, lambda b: b <= ts))
+    group = below(F.lit([g[0] for g in groups[1:]]).cast("array<long>"))
+    whole = F.array(*(F.lit(g).cast("array<long>") for g in groups))
+    return group * (step + 1) + below(F.get(whole, group))
+
+
 def as_of(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Each revisit with ``found``: the latest earlier response of its canonical URL, or null.
 
@@ -62,23 +71,21 @@ def as_of(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     kept = ("record_id", "ts", "kind", "digest", "url")
     rows = records.select(*kept, _lowered(F.col("headers")).alias("headers")).withColumn("canonical", canonical_url(F.col("url")))
     placed = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
-    aside, rows = rows.filter(~placed), rows.filter(placed)
     at = records.agg(F.percentile_approx("ts", [k / buckets for k in range(1, buckets)], 20 * buckets)).head()[0] if buckets > 1 else None
-    bounds = F.lit(sorted(set(at or []))).cast("array<long>")
-    rows = rows.withColumn("_bucket", F.size(F.filter(bounds, lambda b: b <= F.col("ts"))))
+    aside = -1 - F.pmod(F.xxhash64("record_id", "url"), F.lit(buckets)).cast("int")
+    rows = rows.withColumn("_bucket", F.when(placed, _range_of(F.col("ts"), sorted(set(at or [])))).otherwise(aside))
     whole = F.struct("record_id", "ts", "digest", "headers")
-    usable = F.col("kind").eqNullSafe("response")
+    usable = F.col("kind").eqNullSafe("response") & placed
     last = rows.filter(usable).groupBy("canonical", "_bucket").agg(F.max_by(whole, F.struct("ts", "record_id")).alias("_last"))
     # The ranges in which a URL has any record, with what earlier ranges leave.
-    ranges = rows.select("canonical", "_bucket").distinct().join(last, ["canonical", "_bucket"], "left")
+    ranges = rows.filter(placed).select("canonical", "_bucket").distinct().join(last, ["canonical", "_bucket"], "left")
     before = Window.partitionBy("canonical").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = ranges.select("canonical", "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     # A revisit goes before a response of its own time, so that it does not see it.
     inside = Window.partitionBy("canonical", "_bucket").orderBy("ts", F.when(usable, 1).otherwise(0), "record_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = rows.withColumn("_seen", F.last(F.when(usable, whole), ignorenulls=True).over(inside)).filter(F.col("kind").eqNullSafe("revisit"))
-    found = seen.join(carried, ["canonical", "_bucket"], "left").withColumn("found", F.coalesce("_seen", "_carried")).drop("_seen", "_carried", "_bucket")
-    none = aside.filter(F.col("kind").eqNullSafe("revisit")).withColumn("found", F.lit(None).cast(found.schema["found"].dataType))
-    return found.unionByName(none)
+    found = seen.join(carried, ["canonical", "_bucket"], "left").withColumn("found", F.when(placed, F.coalesce("_seen", "_carried")))
+    return found.drop("_seen", "_carried", "_bucket")
 
 
 def _weak(tag: Column) -> Column:
