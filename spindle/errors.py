@@ -17,5 +17,9 @@ class TypeFault(EngineError):
     """A value or column has the wrong type."""
 
 
+class ConflictFault(EngineError):
+    """Another writer came first."""
+
+
 class ConstraintFault(EngineError):
     """A write would break a constraint."""

@@ -1,9 +1,11 @@
 """Exact medians that no single task has to hold.
 
 Spark's own exact percentile keeps every distinct value of a group in memory.
-Here equal values are counted first, a histogram of each group over its range
-finds the bins that hold the middle ranks, and only those bins' values are put
-in order; that sort spills.
+Here equal values are counted first, and a quantile sketch of each group says
+between which two values its middle lies. Counts below, between and above them
+tell exactly which of the three spans holds the middle ranks, and only that
+span's distinct values are put in order; that sort spills. The sketch decides
+how narrow the span is, never the result.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+#: The sketch's rank error is 1 / ACCURACY of a group's rows; the span reaches two errors to each side.
+ACCURACY = 100_000
 
 
 def matched(left: DataFrame, right: DataFrame, ids: list[str], prefix: str, how: str) -> DataFrame:
@@ -23,12 +26,15 @@ def matched(left: DataFrame, right: DataFrame, ids: list[str], prefix: str, how:
     return out.drop(*(prefix + i for i in ids))
 
 
-def medians(rows: DataFrame, ids: list[str], value: Column, name: str, bins: int = BINS) -> DataFrame:
+def medians(rows: DataFrame, ids: list[str], value: Column, name: str, accuracy: int = ACCURACY) -> DataFrame:
     """``ids`` under the prefix ``_m`` and the median of ``value`` (double) as ``name``, for each group that has values."""
-    counts = rows.select(*ids, value.alias("_v")).filter("_v IS NOT NULL").groupBy(*ids, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    spans = counts.groupBy(*(F.col(i).alias(f"_s{i}") for i in ids)).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
-    place = (F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2) * bins
-    binned = matched(counts, spans, ids, "_s", "inner").withColumn("_bin", F.when(F.col("_high") > F.col("_low"), F.least(F.floor(place), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
+    some = rows.select(*ids, value.alias("_v")).filter("_v IS NOT NULL")
+    counts = some.groupBy(*ids, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    reach = min(2 / accuracy, 0.5)
+    ends = F.percentile_approx("_v", [0.5 - reach, 0.5 + reach], accuracy)
+    spans = some.groupBy(*(F.col(i).alias(f"_s{i}") for i in ids)).agg(ends.alias("_ends"), F.count(F.lit(1)).alias("_all"))
+    bin_ = F.when(F.col("_v") < F.col("_ends")[0], 0).when(F.col("_v") <= F.col("_ends")[1], 1).otherwise(2)
+    binned = matched(counts, spans, ids, "_s", "inner").withColumn("_bin", bin_).drop("_ends")
     # Ranks from 0: the middle one, or the middle two.
     first, last = F.shiftright(F.col("_all") - 1, 1), F.shiftright("_all", 1)
     sums = binned.groupBy(*ids, "_bin", "_all").agg(F.sum("_n").alias("_n"))

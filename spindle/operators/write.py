@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,6 @@ def same(a: list[Column], b: list[Column]) -> Column:
 class Writer:
     def __init__(self, store: Store, planner: Planner):
         self.store, self.planner = store, planner
-        self.largest: dict[str, int] = {}
 
     def _own(self, name: str) -> Table:
         table = self.store.catalog.table(name)
@@ -79,8 +79,8 @@ class Writer:
             if None not in values and self._holds_row(table, columns, values):
                 raise ConstraintFault(f"{name}: {tuple(values)} already exists")
         self.store.append(table, stored)
-        if table.name in self.largest:
-            self.largest[table.name] = max(self.largest[table.name], stored[at[table.primary_key[0]]])
+        if table.name in self.store.largest:
+            self.store.largest[table.name] = max(self.store.largest[table.name], stored[at[table.primary_key[0]]])
         return 1
 
     def _number(self, table: Table, row: dict) -> None:
@@ -88,10 +88,10 @@ class Writer:
         first = table.column(table.primary_key[0])
         if len(table.primary_key) > 1 or not first.auto_increment or row[first.name] is not None:
             return
-        if table.name not in self.largest:
+        if table.name not in self.store.largest:
             top = self.store.frame(table).agg(F.max(first.name)).head()[0]
-            self.largest[table.name] = 0 if top is None else top
-        row[first.name] = self.largest[table.name] + 1
+            self.store.largest[table.name] = 0 if top is None else top
+        row[first.name] = self.store.largest[table.name] + 1
 
     def _holds_row(self, table: Table, columns: list[str], values: list) -> bool:
         """Whether a row has these values: the log first, then the parts (their statistics prune the files)."""
@@ -116,11 +116,47 @@ class Writer:
             raise ConstraintFault(f"FOREIGN KEY: '{fk.table}' has no {tuple(values)}")
 
     def insert_frame(self, name: str, rows: DataFrame) -> int:
-        """Append many rows, all or none. Columns go by name; missing ones take their defaults."""
+        """Append many rows, all or none. Columns go by name; missing ones take their defaults, AUTO_INCREMENT keys the next numbers."""
         table = self._own(name)
         for c in rows.columns:
             table.column(c)
         filled = rows.select(*(F.col(f"`{c.name}`").cast(table.schema[c.name].dataType).alias(c.name) if c.name in rows.columns else F.lit(c.default).cast(table.schema[c.name].dataType).alias(c.name) for c in table.columns))
+        # What is checked is what was written: the caller's frame may give other rows when it runs again.
+        made = [self.store.write_part(table, filled)]
+        try:
+            first = table.column(table.primary_key[0])
+            if len(table.primary_key) == 1 and first.auto_increment:
+                made.append(self._number_part(table, made[0]))
+            n = self._check_part(table, self.store.parts(table, made[-1:]))
+        except (EngineError, PySparkException):
+            for part in made:
+                self.store.discard(table, part)
+            raise
+        for part in made[:-1]:
+            self.store.discard(table, part)
+        self.store.adopt({name: (made[-1:], [])}, keep_rows=True)
+        self.store.largest.pop(name, None)
+        return n
+
+    def _number_part(self, table: Table, part: str) -> str:
+        """The part again, rows without a key numbered on from the largest key there is, in the order they lie in."""
+        key = table.primary_key[0]
+        rows = self.store.parts(table, [part])
+        top = self.store.frame(table).select(key).unionByName(rows.select(key)).agg(F.max(key)).head()[0] or 0
+        blank = rows.filter(F.col(key).isNull()).withColumn("_at", F.monotonically_increasing_id())
+        place, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+        # One count for each partition of the scan.
+        counts = sorted((r[0], r[1]) for r in blank.groupBy(place.alias("_place")).agg(F.max(at).alias("_last")).collect())
+        starts, next_ = [], top + 1
+        for number, last in counts:
+            starts.append((number, next_))
+            next_ += last + 1
+        first = F.broadcast(self.store.spark.createDataFrame(starts, "_place long, _first long"))
+        numbered = blank.withColumn("_place", place).join(first, "_place").withColumn(key, (F.col("_first") + at).cast(table.schema[key].dataType))
+        return self.store.write_part(table, rows.filter(F.col(key).isNotNull()).unionByName(numbered.select(*rows.columns)))
+
+    def _check_part(self, table: Table, filled: DataFrame) -> int:
+        """The number of new rows, all constraints held."""
         self._check_rows(table, filled)
         old = self.store.frame(table)
         for label, columns in [("primary key", table.primary_key), *self._keys(table)]:
@@ -131,12 +167,7 @@ class Writer:
                 raise ConstraintFault(f"{label}: a key already exists")
         for fk in table.foreign_keys:
             self._check_parents(fk, filled)
-        n = filled.count()
-        logged = self.store.rows.get(table.name, [])
-        fresh = union([self.store.local(table, logged), filled]) if logged else filled
-        self.store.replace({name: (fresh, None)}, keep_parts=True)
-        self.largest.pop(name, None)
-        return n
+        return filled.count()
 
     def _check_rows(self, table: Table, rows: DataFrame) -> None:
         wrong = F.lit(False)
@@ -219,7 +250,7 @@ class Writer:
         self._check_keys(table, old, lits)
         rest = self._plain(table, rows.filter(~F.coalesce(test, F.lit(False)) & (F.col(PATH).isNull() | F.col(PATH).isin(parts))))
         self.store.replace({table.name: (union([rest, changed]), parts)})
-        self.largest.pop(table.name, None)
+        self.store.largest.pop(table.name, None)
         return n
 
     def _check_children(self, table: Table, old: DataFrame, new: dict[str, Column]) -> None:
@@ -286,7 +317,7 @@ class Writer:
             parts = self._parts_of(gone)
             affected = self._tagged(t).filter(F.col(PATH).isNull() | F.col(PATH).isin(parts)).drop(PATH)
             changes[name] = (self._without(t, affected, gone), parts)
-            self.largest.pop(name, None)
+            self.store.largest.pop(name, None)
         self.store.replace(changes)
         return n
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..errors import NameFault
 from ..functions.values import SPARK
 
-FORMAT = 1
+FORMAT = 2
 
 
 @dataclass
@@ -40,8 +40,8 @@ class Table:
     """A definition and its snapshot.
 
     checks are (column, op, literal) and all must hold. parts are the folders of
-    the snapshot's rows, log the numbered rows written since. path is set for
-    registered files, whose tables can only be read.
+    the snapshot's rows. path is set for registered files, whose tables can only
+    be read.
     """
 
     name: str
@@ -52,7 +52,6 @@ class Table:
     foreign_keys: list[ForeignKey] = field(default_factory=list)
     create_sql: str = ""
     parts: list[str] = field(default_factory=list)
-    log: str = ""
     path: str = ""
     format: str = "parquet"
 
@@ -93,7 +92,6 @@ class Catalog:
     def __init__(self):
         self.tables: dict[str, Table] = {}
         self.indexes: dict[str, Index] = {}
-        self.serial = 0
 
     def table(self, name: str) -> Table:
         if name not in self.tables:
@@ -107,20 +105,15 @@ class Catalog:
         """The foreign keys that refer to ``table``."""
         return [(t, fk) for t in self.tables.values() for fk in t.foreign_keys if fk.table == table]
 
-    def next_serial(self) -> int:
-        self.serial += 1
-        return self.serial
-
     def dump(self) -> dict:
         own = [asdict(t) for t in self.tables.values() if not t.external]
-        return {"format": FORMAT, "serial": self.serial, "tables": own, "indexes": [asdict(i) for i in self.indexes.values()]}
+        return {"format": FORMAT, "tables": own, "indexes": [asdict(i) for i in self.indexes.values()]}
 
     @classmethod
     def load(cls, data: dict) -> Catalog:
         if data.get("format") != FORMAT:
             raise NameFault(f"catalog format {data.get('format')} is not {FORMAT}")
         out = cls()
-        out.serial = data["serial"]
         for t in data["tables"]:
             t["columns"] = [Column(**c) for c in t["columns"]]
             t["foreign_keys"] = [ForeignKey(**f) for f in t["foreign_keys"]]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -43,7 +46,20 @@ class Files:
 
     def write(self, path: str, text: str) -> None:
         """The whole text or nothing: a temporary file takes the name's place at once."""
-        temporary = f"{path}.tmp"
+        self._put(path, text, "OVERWRITE")
+
+    def claim(self, path: str, text: str) -> bool:
+        """Write the whole text where nothing is; False, and nothing done, where something is."""
+        try:
+            self._put(path, text, "NONE")
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def _put(self, path: str, text: str, mode: str) -> None:
+        temporary = f"{path}.{uuid.uuid4().hex}.tmp"
         stream = self._fs(path).create(self.path(temporary), True)
         try:
             stream.write(bytearray(text.encode()))
@@ -53,5 +69,9 @@ class Files:
         fs = self.jvm.org.apache.hadoop.fs
         context = fs.FileContext.getFileContext(self.path(path).toUri(), self.conf)
         options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
-        options[0] = getattr(fs, "Options$Rename").OVERWRITE
-        context.rename(self.path(temporary), self.path(path), options)
+        options[0] = getattr(getattr(fs, "Options$Rename"), mode)
+        try:
+            context.rename(self.path(temporary), self.path(path), options)
+        except Py4JJavaError:
+            self.delete(temporary)
+            raise

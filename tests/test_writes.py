@@ -3,6 +3,7 @@
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from spindle.cli import Console, saved_dir
 from spindle.engine import Engine
@@ -122,7 +123,7 @@ def test_rows_survive_a_restart(spark, tmp_path):
 
 def test_many_inserts_become_parts(engine, monkeypatch):
     monkeypatch.setattr("spindle.sources.storage.LOG_ROWS", 4)
-    monkeypatch.setattr("spindle.sources.storage.MAX_PARTS", 2)
+    monkeypatch.setattr("spindle.sources.storage.FAN", 2)
     good(engine, "CREATE TABLE t (id INT PRIMARY KEY)")
     good(engine, "; ".join(f"INSERT INTO t VALUES ({k})" for k in range(14)))
     bad(engine, "INSERT INTO t VALUES (1)")
@@ -130,6 +131,76 @@ def test_many_inserts_become_parts(engine, monkeypatch):
     assert len(engine.store.catalog.tables["t"].parts) <= 2
 
 
+def test_two_writers(spark, tmp_path):
+    """The one that has not seen the other's entry is refused, and no acknowledged row is lost."""
+    one, two = Engine(spark, str(tmp_path)), Engine(spark, str(tmp_path))
+    good(one, "CREATE DATABASE d; USE d; CREATE TABLE t (id INT PRIMARY KEY AUTO_INCREMENT, v INT)")
+    good(two, "USE d; INSERT INTO t VALUES (1, 1)")
+    bad(one, "INSERT INTO t VALUES (1, 2)")
+    bad(one, "INSERT INTO t VALUES (1, 2)")  # now a repeated key
+    good(one, "INSERT INTO t VALUES (2, 2)")
+    one.checkpoint()
+    bad(two, "INSERT INTO t (v) VALUES (3)")
+    good(two, "INSERT INTO t (v) VALUES (3); UPDATE t SET v = 9 WHERE id = 1; INSERT INTO t (v) VALUES (4)")
+    assert not one.insert_rows("t", spark.createDataFrame([(50, 5)], "id int, v int")).success
+    bad(one, "INSERT INTO t VALUES (3, 2)")
+    assert rows(one, "SELECT * FROM t") == rows(two, "SELECT * FROM t") == [(1, 9), (2, 2), (3, 3), (4, 4)]
+    third = Engine(spark, str(tmp_path))
+    good(third, "USE d")
+    assert rows(third, "SELECT * FROM t") == [(1, 9), (2, 2), (3, 3), (4, 4)]
+    assert not [n for n, _ in third.files.listed(f"{tmp_path}/d/journal") if n.endswith(".tmp")]
+    names = [n for n, folder in third.files.listed(f"{tmp_path}/d/t") if folder]
+    assert set(third.store.catalog.tables["t"].parts) <= set(names) and len(names) <= 3  # a refused load leaves no part
+
+
+def test_levels(engine, spark, monkeypatch):
+    """Many loads make few parts, and a large part is not rewritten for each of them."""
+    monkeypatch.setattr("spindle.sources.storage.FAN", 3)
+    good(engine, "CREATE TABLE t (id INT PRIMARY KEY)")
+    written = []
+    plain = engine.store.write_part
+    monkeypatch.setattr(engine.store, "write_part", lambda table, frame, at=0, **more: written.append(at) or plain(table, frame, at, **more))
+    for k in range(10):
+        assert engine.insert_rows("t", spark.range(k * 10, k * 10 + 10).selectExpr("cast(id as int) AS id")).affected == 10
+    assert sorted(written) == [0] * 10 + [1] * 3 + [2]
+    assert [r[0] for r in rows(engine, "SELECT id FROM t")] == list(range(100))
+    assert len(engine.store.catalog.tables["t"].parts) == 2
+
+
+def test_files_hold_ranges_of_the_key(engine, spark):
+    good(engine, "CREATE TABLE t (id INT PRIMARY KEY, s VARCHAR(50))")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert engine.insert_rows("t", spark.range(20_000).selectExpr("cast(hash(id) as int) AS id", "'x' AS s").dropDuplicates(["id"])).success
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    files = engine.store.frame(engine.store.catalog.tables["t"]).groupBy("_metadata.file_path").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    spans = sorted((r["low"], r["high"]) for r in files.collect())
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_bulk_rows_are_numbered(engine, spark):
+    good(engine, "CREATE TABLE t (id INT PRIMARY KEY AUTO_INCREMENT, v INT CHECK (v < 1000)); INSERT INTO t VALUES (7, 0)")
+    assert engine.insert_rows("t", spark.range(50).selectExpr("cast(id as int) AS v").repartition(6)).affected == 50
+    assert sorted(r[0] for r in rows(engine, "SELECT id FROM t")) == list(range(7, 58))
+    assert engine.insert_rows("t", spark.createDataFrame([(None, 1), (100, 2), (None, 3)], "id int, v int")).affected == 3
+    assert [r[0] for r in rows(engine, "SELECT id FROM t WHERE id > 57")] == [100, 101, 102]
+    good(engine, "INSERT INTO t (v) VALUES (5)")
+    parts = list(engine.store.catalog.tables["t"].parts)
+    for data, kind in [([(None, 1000)], "int"), ([(7, 1)], "int"), ([("x", 1)], "string")]:
+        r = engine.insert_rows("t", spark.createDataFrame(data, f"id {kind}, v int"))
+        assert not r.success and r.error
+    assert rows(engine, "SELECT MAX(id), COUNT(*) FROM t") == [(103, 55)] and engine.store.catalog.tables["t"].parts == parts
+    assert len([n for n, folder in engine.files.listed(f"{engine.store.folder}/t") if folder]) == len(parts)
+
+
+def test_rows_checked_are_the_rows_written(engine, spark):
+    good(engine, "CREATE TABLE t (id INT PRIMARY KEY, v INT)")
+    shifting = spark.range(100).selectExpr("cast(id as int) AS id", "cast(rand() * 1000000 as int) AS v")
+    assert engine.insert_rows("t", shifting).affected == 100
+    assert rows(engine, "SELECT v FROM t") == rows(engine, "SELECT v FROM t") and len(rows(engine, "SELECT id FROM t")) == 100
+
+
 def test_untouched_parts_are_kept(engine):
     good(engine, "CREATE TABLE t (id INT PRIMARY KEY, v INT); INSERT INTO t VALUES (1, 1)")
     engine.checkpoint()
