@@ -23,7 +23,8 @@ KEYS = {
 class Spec:
     """sql in the dialect; names of its columns; oracle in ANSI SQL; columns to round to four digits.
 
-    script: statements to run first, in a new database.
+    script: statements to run first, in a new database. shown: small SELECTs whose
+    headers, row order and cell texts are the result, in place of sql's rows.
     """
 
     sql: str
@@ -31,6 +32,7 @@ class Spec:
     oracle: str
     rounded: str = ""
     script: str = ""
+    shown: tuple[str, ...] = ()
 
 
 def _folder(spark: SparkSession) -> str:
@@ -45,12 +47,19 @@ def _tables(sql: str) -> list[str]:
 def run(spec: Spec) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         engine = Engine(spark, _folder(spark))
-        for name in _tables(spec.sql):
+        for name in _tables(" ".join((spec.sql, *spec.shown))):
             engine.register(name, f"{sf_dir}/{name}.parquet", KEYS[name])
         if spec.script:
             for statement in ("CREATE DATABASE work", "USE work"):
                 engine.execute(statement)
             results = engine.script(spec.script)
+        if spec.shown:
+            texts = []
+            for k, sql in enumerate(spec.shown):
+                result = engine.execute(sql)
+                texts += [(k + 1, at + 1, "|".join(result.headers), "|".join(cells)) for at, cells in enumerate(result.text_rows())]
+            return spark.createDataFrame(texts, "statement int, position int, header string, cells string")
+        if spec.script:
             if spec.sql == "":
                 rows = [(k + 1, r.success, r.affected) for k, r in enumerate(results)]
                 return spark.createDataFrame(rows, "statement int, success boolean, affected int")
@@ -133,6 +142,25 @@ SPECS = {
     "not_null_2vl": Spec("SELECT id FROM l WHERE NOT k = 1", "id", "SELECT * FROM (VALUES (2), (3), (4)) AS t(id)", script=PAIRS),
     "not_in_2vl": Spec("SELECT id FROM l WHERE NOT k IN (SELECT k FROM r)", "id", "SELECT * FROM (VALUES (2), (3), (4)) AS t(id)", script=PAIRS),
     "like_plain_backslash": Spec("SELECT id FROM l WHERE s LIKE 'a\\b'", "id", "SELECT 3 AS id", script=PAIRS),
+    # headers, row order, texts, refusals
+    "left_wins": Spec("SELECT id, r.id FROM l JOIN r ON l.k = r.k", "a b", "SELECT * FROM (VALUES (1, 1), (2, 2), (4, 2)) AS t(a, b)", script=PAIRS),
+    "shown_groups": Spec(
+        "", "", "SELECT 1::INT AS statement, (row_number() OVER (ORDER BY r_name))::INT AS position, 'r_name|COUNT(*)|AVG(n_nationkey)' AS header, r_name || '|' || count(*) || '|' || printf('%.6f', avg(n_nationkey)) AS cells FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+        shown=("SELECT r_name, COUNT(*), AVG(n_nationkey) FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",),
+    ),
+    "shown_texts": Spec(
+        "", "", "SELECT * FROM (VALUES (1::INT, 1::INT, '1|x|NULL|id', '1|x|NULL|1'), (2, 1, 'COUNT(*)|MAX(f)|COUNT(k)', '3|9.000000|2'), (3, 1, 'id|f|s', '2|NULL|NULL'), (3, 2, 'id|f|s', '3|2.500000|a\\b'), (3, 3, 'id|f|s', '4|4.000000|axb'), (4, 1, 'id|id', '1|1'), (4, 2, 'id|id', '2|2'), (4, 3, 'id|id', '4|2'), (5, 1, 'k|COUNT(*)', 'NULL|2'), (5, 2, 'k|COUNT(*)', '1|1'), (5, 3, 'k|COUNT(*)', '3|1'), (6, 1, 'k', '1'), (6, 2, 'k', '3'), (6, 3, 'k', 'NULL'), (6, 4, 'k', 'NULL')) AS t(statement, position, header, cells)",
+        script=PAIRS,
+        shown=("SELECT 1, 'x', NULL, id FROM l WHERE id = 1", "SELECT COUNT(*), MAX(f), COUNT(k) FROM r ORDER BY id LIMIT 0", "SELECT id, f, s FROM l WHERE id > 1", "SELECT l.id, r.id FROM l JOIN r ON l.k = r.k", "SELECT k, COUNT(*) FROM l GROUP BY k", "SELECT k FROM l ORDER BY k"),
+    ),
+    "refused_statements": Spec(
+        "", "", "SELECT k::INT AS statement, k <= 11 OR k IN (24, 26, 29) AS success, (CASE WHEN k BETWEEN 3 AND 9 OR k IN (11, 29) THEN 1 ELSE 0 END)::INT AS affected FROM range(1, 30) AS t(k)",
+        script=PAIRS + """CREATE TABLE n (id INT PRIMARY KEY, v INT NOT NULL, s VARCHAR(2)); INSERT INTO n VALUES (1, 1, 'ab');
+        SELECT s FROM l JOIN r ON l.k = r.k WHERE id = 1; SELECT id, COUNT(*) FROM l; SELECT id FROM l HAVING COUNT(*) > 1; SELECT id FROM l ORDER BY COUNT(*); SELECT k FROM l GROUP BY k ORDER BY f; SELECT k FROM l GROUP BY f;
+        SELECT AVG(s) FROM l; SELECT MEDIAN(s) FROM l; SELECT id FROM l WHERE id IN (SELECT id, k FROM r); SELECT id FROM l WHERE id IN (SELECT * FROM r);
+        SELECT id FROM l WHERE EXISTS (SELECT 1 FROM r WHERE EXISTS (SELECT 1 FROM n WHERE n.id = l.id)); SELECT l.id FROM l JOIN r ON l.id = s;
+        CREATE UNIQUE INDEX i ON n (v); INSERT INTO n VALUES (2, 1, 'x'); DROP INDEX i; INSERT INTO n VALUES (2, NULL, 'x'); INSERT INTO n VALUES (2, 1, 'abc'); INSERT INTO n VALUES (2, 1, 'x')""",
+    ),
     # definitions and writes
     "ddl_dml_roundtrip": Spec("SELECT id, name, city FROM customers", "id name city", "SELECT * FROM (VALUES (1, 'Ann', 'Oslo'), (2, 'Bob', 'Rome'), (3, 'Cleo', NULL), (10, 'Dan', 'Oslo'), (11, 'Eve', 'Oslo')) AS t(id, name, city)", script=SHOP),
     "update_rows": Spec("SELECT id, customer_id, amount FROM orders_", "id customer_id amount", "SELECT id, customer_id, amount::FLOAT AS amount FROM (VALUES (1, 2, 7.5), (2, 2, 7.5), (3, 2, 20.25), (4, NULL, 5.0)) AS t(id, customer_id, amount)", script=SHOP + "UPDATE orders_ SET customer_id = 2, amount = 7.5 WHERE customer_id = 1; UPDATE orders_ SET customer_id = 77 WHERE id = 4; UPDATE orders_ SET amount = -1.0;"),
