@@ -14,11 +14,12 @@ from ..functions.values import fit, holds, kind_of
 from ..plans import ast
 from ..plans.predicates import Where
 from ..plans.scope import Scope
-from ..sources.catalog import ForeignKey, Table
+from ..sources.catalog import ForeignKey, Table, stored
 from ..sources.storage import Store, union
 from .select import Planner
 
-PATH = "_path"
+#: Internal names hold a sign that no column's name has.
+PATH = "$path"
 
 
 def passes(rule: list, value) -> bool:
@@ -89,7 +90,7 @@ class Writer:
         if len(table.primary_key) > 1 or not first.auto_increment or row[first.name] is not None:
             return
         if table.name not in self.store.largest:
-            top = self.store.frame(table).agg(F.max(first.name)).head()[0]
+            top = self.store.frame(table).agg(F.max(*table.key)).head()[0]
             self.store.largest[table.name] = 0 if top is None else top
         row[first.name] = self.store.largest[table.name] + 1
 
@@ -98,11 +99,11 @@ class Writer:
         at = [[c.name for c in table.columns].index(c) for c in columns]
         if any([r[i] for i in at] == values for r in self.store.rows.get(table.name, ())):
             return True
-        stored = self.store.parts(table)
-        if stored is None:
+        parts = self.store.parts(table)
+        if parts is None:
             return False
-        test = all_of([F.col(c) == F.lit(v).cast(table.schema[c].dataType) for c, v in zip(columns, values, strict=True)])
-        return not stored.filter(test).select(F.lit(1)).isEmpty()
+        test = all_of([F.col(c) == F.lit(v).cast(table.schema[c].dataType) for c, v in zip(map(stored, columns), values, strict=True)])
+        return not parts.filter(test).select(F.lit(1)).isEmpty()
 
     def _need_parent(self, fk: ForeignKey, values: list) -> None:
         parent = self.store.catalog.table(fk.table)
@@ -120,7 +121,8 @@ class Writer:
         table = self._own(name)
         for c in rows.columns:
             table.column(c)
-        filled = rows.select(*(F.col(f"`{c.name}`").cast(table.schema[c.name].dataType).alias(c.name) if c.name in rows.columns else F.lit(c.default).cast(table.schema[c.name].dataType).alias(c.name) for c in table.columns))
+        given = rows.toDF(*map(stored, rows.columns))
+        filled = given.select(*((F.col(f.name) if f.name in given.columns else F.lit(c.default)).cast(f.dataType).alias(f.name) for c, f in zip(table.columns, table.schema, strict=True)))
         # What is checked is what was written: the caller's frame may give other rows when it runs again.
         made = [self.store.write_part(table, filled)]
         try:
@@ -140,19 +142,19 @@ class Writer:
 
     def _number_part(self, table: Table, part: str) -> str:
         """The part again, rows without a key numbered on from the largest key there is, in the order they lie in."""
-        key = table.primary_key[0]
+        key = table.key[0]
         rows = self.store.parts(table, [part])
         top = self.store.frame(table).select(key).unionByName(rows.select(key)).agg(F.max(key)).head()[0] or 0
-        blank = rows.filter(F.col(key).isNull()).withColumn("_at", F.monotonically_increasing_id())
-        place, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+        blank = rows.filter(F.col(key).isNull()).withColumn("$at", F.monotonically_increasing_id())
+        place, at = F.shiftright("$at", 33), F.col("$at").bitwiseAND(F.lit((1 << 33) - 1))
         # One count for each partition of the scan.
-        counts = sorted((r[0], r[1]) for r in blank.groupBy(place.alias("_place")).agg(F.max(at).alias("_last")).collect())
+        counts = sorted((r[0], r[1]) for r in blank.groupBy(place.alias("$place")).agg(F.max(at).alias("_last")).collect())
         starts, next_ = [], top + 1
         for number, last in counts:
             starts.append((number, next_))
             next_ += last + 1
-        first = F.broadcast(self.store.spark.createDataFrame(starts, "_place long, _first long"))
-        numbered = blank.withColumn("_place", place).join(first, "_place").withColumn(key, (F.col("_first") + at).cast(table.schema[key].dataType))
+        first = F.broadcast(self.store.spark.createDataFrame(starts, "`$place` long, `$first` long"))
+        numbered = blank.withColumn("$place", place).join(first, "$place").withColumn(key, (F.col("$first") + at).cast(table.schema[key].dataType))
         return self.store.write_part(table, rows.filter(F.col(key).isNotNull()).unionByName(numbered.select(*rows.columns)))
 
     def _check_part(self, table: Table, filled: DataFrame) -> int:
@@ -160,8 +162,9 @@ class Writer:
         self._check_rows(table, filled)
         old = self.store.frame(table)
         for label, columns in [("primary key", table.primary_key), *self._keys(table)]:
+            columns = [stored(c) for c in columns]
             keys = filled.select(*columns).dropna()
-            if not keys.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+            if not keys.groupBy(*columns).agg(F.count(F.lit(1)).alias("$n")).filter(F.col("$n") > 1).isEmpty():
                 raise ConstraintFault(f"{label}: the new rows repeat a key")
             if not keys.join(old.select(*columns), columns, "left_semi").isEmpty():
                 raise ConstraintFault(f"{label}: a key already exists")
@@ -173,23 +176,23 @@ class Writer:
         wrong = F.lit(False)
         for c in table.columns:
             if not c.nullable:
-                wrong = wrong | F.col(c.name).isNull()
+                wrong = wrong | F.col(stored(c.name)).isNull()
             if c.type == "VARCHAR":
-                wrong = wrong | F.coalesce(F.octet_length(c.name) > c.length, F.lit(False))
+                wrong = wrong | F.coalesce(F.octet_length(stored(c.name)) > c.length, F.lit(False))
         if not rows.filter(wrong).isEmpty():
             raise TypeFault(f"a row does not fit the columns of '{table.name}'")
         for column, op, value in table.checks:
             spec = table.column(column)
             literal = ast.Literal(value, "NULL" if value is None else kind_of(value))
-            holds_ = compare(Operand(F.col(column), spec.type), op, constant(literal))
-            if not rows.filter(F.col(column).isNotNull() & ~F.coalesce(holds_, F.lit(False))).isEmpty():
+            holds_ = compare(Operand(F.col(stored(column)), spec.type), op, constant(literal))
+            if not rows.filter(F.col(stored(column)).isNotNull() & ~F.coalesce(holds_, F.lit(False))).isEmpty():
                 raise ConstraintFault(f"CHECK fails: {column} {op} {value}")
 
     def _check_parents(self, fk: ForeignKey, rows: DataFrame) -> None:
         """Every foreign key without null has its parent row."""
-        parent = self.store.frame(self.store.catalog.table(fk.table)).select(*(F.col(c).alias(f"_p{k}") for k, c in enumerate(fk.ref_columns)))
-        keys = rows.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(fk.columns))).dropna()
-        match = all_of([F.col(f"_k{k}") == F.col(f"_p{k}") for k in range(len(fk.columns))])
+        parent = self.store.frame(self.store.catalog.table(fk.table)).select(*(F.col(stored(c)).alias(f"$p{k}") for k, c in enumerate(fk.ref_columns)))
+        keys = rows.select(*(F.col(stored(c)).alias(f"$k{k}") for k, c in enumerate(fk.columns))).dropna()
+        match = all_of([F.col(f"$k{k}") == F.col(f"$p{k}") for k in range(len(fk.columns))])
         if not keys.join(parent, match, "left_anti").isEmpty():
             raise ConstraintFault(f"FOREIGN KEY: a row of '{fk.table}' is missing")
 
@@ -198,11 +201,11 @@ class Writer:
     def _tagged(self, table: Table) -> DataFrame:
         """All rows with the part that each lies in (null for the log)."""
         logged = self.store.rows.get(table.name, [])
-        stored = self.store.parts(table)
+        parts = self.store.parts(table)
         frames = []
-        if stored is not None:
-            frames.append(stored.select("*", F.element_at(F.split("_metadata.file_path", "/"), -2).alias(PATH)))
-        if logged or stored is None:
+        if parts is not None:
+            frames.append(parts.select("*", F.element_at(F.split("_metadata.file_path", "/"), -2).alias(PATH)))
+        if logged or parts is None:
             frames.append(self.store.local(table, logged).withColumn(PATH, F.lit(None).cast("string")))
         return union(frames)
 
@@ -215,7 +218,7 @@ class Writer:
         return rows, test
 
     def _plain(self, table: Table, rows: DataFrame) -> DataFrame:
-        return rows.select(*rows.columns[: len(table.columns)]).toDF(*(c.name for c in table.columns))
+        return rows.select(*rows.columns[: len(table.columns)]).toDF(*table.schema.names)
 
     def _parts_of(self, rows: DataFrame) -> list[str]:
         """Bounded by the table's number of parts."""
@@ -241,8 +244,8 @@ class Writer:
                 raise ConstraintFault("a primary key column cannot be NULL")
         values = {name: fit(v, table.column(name)) for name, v in new.items()}
         old = self._plain(table, hit)
-        lits = {name: F.lit(v).cast(table.schema[name].dataType) for name, v in values.items()}
-        changed = old.select(*(lits.get(c.name, F.col(c.name)).alias(c.name) for c in table.columns))
+        lits = {name: F.lit(v).cast(table.schema[stored(name)].dataType) for name, v in values.items()}
+        changed = old.select(*(lits.get(c.name, F.col(stored(c.name))).alias(stored(c.name)) for c in table.columns))
         for fk in table.foreign_keys:
             if set(fk.columns) & set(new):
                 self._check_parents(fk, changed)
@@ -259,14 +262,14 @@ class Writer:
             touched = [c for c in fk.ref_columns if c in new]
             if not touched:
                 continue
-            moved = old.filter(~all_of([F.col(c).eqNullSafe(new[c]) for c in touched]))
+            moved = old.filter(~all_of([F.col(stored(c)).eqNullSafe(new[c]) for c in touched]))
             if not self._referring(child, fk, moved).isEmpty():
                 raise ConstraintFault(f"rows of '{child.name}' refer to a key that would change")
 
     def _referring(self, child: Table, fk: ForeignKey, parents: DataFrame) -> DataFrame:
         """The rows of ``child`` whose foreign key is one of ``parents``' keys."""
-        keys = parents.select(*(F.col(c).alias(f"_p{k}") for k, c in enumerate(fk.ref_columns)))
-        match = all_of([F.col(c) == F.col(f"_p{k}") for k, c in enumerate(fk.columns)])
+        keys = parents.select(*(F.col(stored(c)).alias(f"$p{k}") for k, c in enumerate(fk.ref_columns)))
+        match = all_of([F.col(stored(c)) == F.col(f"$p{k}") for k, c in enumerate(fk.columns)])
         return self.store.frame(child).join(keys, match, "left_semi")
 
     def _check_keys(self, table: Table, old: DataFrame, new: dict[str, Column]) -> None:
@@ -275,16 +278,16 @@ class Writer:
             if not set(columns) & set(new):
                 continue
             mine = old.select(
-                *(F.col(c).alias(f"_o{k}") for k, c in enumerate(table.primary_key)),
-                *(new.get(c, F.col(c)).alias(f"_n{k}") for k, c in enumerate(columns)),
+                *(F.col(c).alias(f"$o{k}") for k, c in enumerate(table.key)),
+                *(new.get(c, F.col(stored(c))).alias(f"$n{k}") for k, c in enumerate(columns)),
             )
-            news = [f"_n{k}" for k in range(len(columns))]
+            news = [f"$n{k}" for k in range(len(columns))]
             mine = mine.dropna(subset=news)
-            if not mine.groupBy(*news).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+            if not mine.groupBy(*news).agg(F.count(F.lit(1)).alias("$n")).filter(F.col("$n") > 1).isEmpty():
                 raise ConstraintFault(f"{label}: two rows of this UPDATE would share a key")
-            there = self.store.frame(table).select(*(F.col(c).alias(f"_t{k}") for k, c in enumerate(table.primary_key)), *(F.col(c).alias(f"_k{k}") for k, c in enumerate(columns)))
-            itself = all_of([F.col(f"_o{k}") == F.col(f"_t{k}") for k in range(len(table.primary_key))])
-            meets = all_of([F.col(f"_n{k}") == F.col(f"_k{k}") for k in range(len(columns))])
+            there = self.store.frame(table).select(*(F.col(c).alias(f"$t{k}") for k, c in enumerate(table.key)), *(F.col(stored(c)).alias(f"$k{k}") for k, c in enumerate(columns)))
+            itself = all_of([F.col(f"$o{k}") == F.col(f"$t{k}") for k in range(len(table.primary_key))])
+            meets = all_of([F.col(f"$n{k}") == F.col(f"$k{k}") for k in range(len(columns))])
             if not mine.join(there, meets & ~itself, "left_semi").isEmpty():
                 raise ConstraintFault(f"{label}: a key of this UPDATE already exists")
 
@@ -296,7 +299,7 @@ class Writer:
         n = rows.filter(test).count()
         if not n:
             return 0
-        tagged = {table.name: rows.filter(test).toDF(*(c.name for c in table.columns), PATH)}
+        tagged = {table.name: rows.filter(test).toDF(*table.schema.names, PATH)}
         # Parents are older than their children, so one pass in order of creation closes the set.
         for name in list(self.store.catalog.tables):
             if name not in tagged:
@@ -304,7 +307,7 @@ class Writer:
             for child, fk in self.store.catalog.children_of(name):
                 if fk.cascade:
                     found = self._tagged(child).join(self._keys_of(fk, tagged[name]), self._match(fk), "left_semi")
-                    tagged[child.name] = tagged[child.name].unionByName(found).dropDuplicates(child.primary_key) if child.name in tagged else found
+                    tagged[child.name] = tagged[child.name].unionByName(found).dropDuplicates(child.key) if child.name in tagged else found
         for name, gone in tagged.items():
             for child, fk in self.store.catalog.children_of(name):
                 if not fk.cascade:
@@ -323,15 +326,15 @@ class Writer:
 
     @staticmethod
     def _keys_of(fk: ForeignKey, parents: DataFrame) -> DataFrame:
-        return parents.select(*(F.col(c).alias(f"_p{k}") for k, c in enumerate(fk.ref_columns)))
+        return parents.select(*(F.col(stored(c)).alias(f"$p{k}") for k, c in enumerate(fk.ref_columns)))
 
     @staticmethod
     def _match(fk: ForeignKey) -> Column:
-        return all_of([F.col(c) == F.col(f"_p{k}") for k, c in enumerate(fk.columns)])
+        return all_of([F.col(stored(c)) == F.col(f"$p{k}") for k, c in enumerate(fk.columns)])
 
     @staticmethod
     def _without(table: Table, rows: DataFrame, gone: DataFrame | None) -> DataFrame:
         if gone is None:
             return rows
-        keys = gone.select(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(table.primary_key)))
-        return rows.join(keys, all_of([F.col(c) == F.col(f"_g{k}") for k, c in enumerate(table.primary_key)]), "left_anti")
+        keys = gone.select(*(F.col(c).alias(f"$g{k}") for k, c in enumerate(table.key)))
+        return rows.join(keys, all_of([F.col(c) == F.col(f"$g{k}") for k, c in enumerate(table.key)]), "left_anti")

@@ -9,7 +9,13 @@ from pyspark.sql import types as T
 from ..errors import NameFault
 from ..functions.values import SPARK
 
-FORMAT = 2
+FORMAT = 3
+
+
+def stored(name: str) -> str:
+    """A column's name in files and frames, where case does not count: capitals are marked by their places."""
+    capitals = sum(1 << k for k, c in enumerate(name) if c.isupper())
+    return f"{name}${capitals:x}" if capitals else name
 
 
 @dataclass
@@ -66,7 +72,13 @@ class Table:
 
     @property
     def schema(self) -> T.StructType:
-        return T.StructType([T.StructField(c.name, SPARK[c.type]) for c in self.columns])
+        """Of the rows, under stored names."""
+        return T.StructType([T.StructField(stored(c.name), SPARK[c.type]) for c in self.columns])
+
+    @property
+    def key(self) -> list[str]:
+        """The primary key's stored names."""
+        return [stored(c) for c in self.primary_key]
 
     @property
     def external(self) -> bool:

@@ -251,3 +251,15 @@ def test_console(spark, tmp_path):
     assert "Error: expected a statement" in text and f"Data folder: {tmp_path / 'one'}" in text and "| ; |" in text
     console.run([f"\\path {tmp_path / 'two'}", "SHOW DATABASES;", "\\nope", "quit", "SELECT 1;"])
     assert saved_dir(settings) == str(tmp_path / "two") and "0 row(s) in set" in out.getvalue() and "unknown command" in out.getvalue()
+
+
+def test_names_that_differ_in_case_are_two_columns(engine, spark):
+    good(engine, "CREATE TABLE cc (id INT PRIMARY KEY AUTO_INCREMENT, a INT, A INT, Ab INT UNIQUE, aB VARCHAR(3), _path INT); CREATE TABLE kid (ID INT PRIMARY KEY, Ab INT, FOREIGN KEY (Ab) REFERENCES cc(Ab) ON DELETE CASCADE)")
+    good(engine, "INSERT INTO cc (a, A, Ab, aB, _path) VALUES (1, 2, 3, 'x', 9); INSERT INTO cc (A, a, Ab) VALUES (5, 4, 6); INSERT INTO kid VALUES (1, 3); INSERT INTO kid VALUES (2, 6)")
+    assert engine.insert_rows("cc", spark.createDataFrame([(7, 8, 9)], "a int, A int, Ab int")).success
+    assert engine.execute("SELECT * FROM cc").headers == ["id", "a", "A", "Ab", "aB", "_path"]
+    assert rows(engine, "SELECT a, A, Ab, aB, _path FROM cc") == [(1, 2, 3, "x", 9), (4, 5, 6, None, None), (7, 8, 9, None, None)]
+    good(engine, "UPDATE cc SET A = 20 WHERE a = 4; DELETE FROM cc WHERE A = 2; UPDATE cc SET _path = 1 WHERE Ab = 9")
+    assert rows(engine, "SELECT A, a, COUNT(*) FROM cc GROUP BY A, a ORDER BY A") == [(8, 7, 1), (20, 4, 1)]
+    assert rows(engine, "SELECT kid.ID, cc.A FROM kid JOIN cc ON kid.Ab = cc.Ab") == [(2, 20)]
+    bad(engine, "SELECT ab FROM cc", "SELECT AB FROM cc", "INSERT INTO cc (Ab) VALUES (6)", "CREATE TABLE d2 (id INT PRIMARY KEY, x INT, x INT)")
