@@ -1,10 +1,10 @@
 """Line dedup by levelled sorted runs of line hashes.
 
-The index is a set of runs: tables of (h1, h2, n_docs, keeper) sorted by hash.
-A batch of documents is aggregated to one row a key, merge-anti-joined with the
-runs' keys, and written as a run of level 0: keys that no run has yet are fresh
-and carry their keeper, the largest ``doc_id`` of the batch that holds them;
-known keys add their count alone. ``FANOUT`` runs of one level are compacted to
+The index is a set of runs: tables of (h1, h2, n_docs, keeper, fresh), dealt by
+hash into buckets and sorted in them. A batch of documents is aggregated to one
+row a key, merged with each run in turn, and written as a run of level 0: keys
+that no run has yet (an anti-join's rows) are fresh and carry their keeper, the
+largest ``doc_id`` of the batch that holds them; known keys add their count alone. ``FANOUT`` runs of one level are compacted to
 one run of the next, so a key is rewritten a logarithmic number of times.
 
 Batches go by descending ``doc_id``: the batch in which a key is fresh then
@@ -23,18 +23,18 @@ result. Other columns are unused.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, cut, scratch, table
+from .common import SPACE, ascii_lower, cut, discard, scratch, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
 FANOUT = 2
 
-RUN = "h1 long, h2 long, n_docs long, keeper long, fresh boolean"
-
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -62,66 +62,73 @@ def keys_of(docs: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """The runs by level, in a shared folder."""
+    """The runs by level, in a shared folder.
+
+    All runs are dealt alike, by hash of the key to ``spark.sql.shuffle.partitions``
+    buckets of one sorted file each. A batch is aggregated into the same deal, so it
+    meets the runs, and runs meet each other, bucket by bucket without a shuffle.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
         self.spark, self.path, self.fanout = spark, path or scratch(spark, "lines"), fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self.written = 0
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
 
     def _write(self, run: DataFrame, level: int) -> None:
-        self.written += 1
-        path = f"{self.path}/level{level}-run{self.written}"
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
+        name = f"lines_{uuid.uuid4().hex}"
+        run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
 
     def runs(self) -> list[str]:
         return [p for level in self.levels for p in level]
 
     def add(self, keys: DataFrame) -> None:
         """One batch's keys (doc_id, h1, h2; a row for each document and key)."""
-        own = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
-        known = self._read(self.runs()).filter("fresh").select("h1", "h2")
-        if self.runs():
-            fresh = own.join(known, ["h1", "h2"], "left_anti").withColumn("fresh", F.lit(True))
-            again = own.join(known, ["h1", "h2"], "left_semi").select("h1", "h2", "n_docs", F.lit(None).cast("long").alias("keeper"), F.lit(False).alias("fresh"))
-            self._write(fresh.unionByName(again), 0)
-        else:
-            self._write(own.withColumn("fresh", F.lit(True)), 0)
+        self._write(self.marked(keys), 0)
         self.compact()
 
+    def marked(self, keys: DataFrame) -> DataFrame:
+        """The run of a batch: its keys once, fresh unless a run has them."""
+        own = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).withColumn("fresh", F.lit(True))
+        for name in self.runs():
+            known = self.spark.table(name).filter("fresh").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"))
+            own = own.join(known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left").withColumn("fresh", F.col("fresh") & F.col("k1").isNull()).drop("k1", "k2")
+        return own.withColumn("keeper", F.when(F.col("fresh"), F.col("keeper")))
+
     def compact(self) -> None:
         """Merge a level's runs into one of the next level wherever a level is full."""
         level = 0
         while level < len(self.levels):
             if len(self.levels[level]) >= self.fanout:
                 merged, self.levels[level] = self.levels[level], []
-                self._write(self.merged(self._read(merged)), level + 1)
+                self._write(self.merged(merged), level + 1)
                 self._drop(merged)
             level += 1
 
-    @staticmethod
-    def merged(runs: DataFrame) -> DataFrame:
+    def merged(self, names: list[str]) -> DataFrame:
         """One row a key; of its runs only the one where it was fresh has a keeper."""
-        return runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"), F.max("fresh").alias("fresh"))
-
-    def _drop(self, paths: list[str]) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-        for p in paths:
-            at = jvm.org.apache.hadoop.fs.Path(p)
-            at.getFileSystem(conf).delete(at, True)
+        first, *others = (self.spark.table(n) for n in names)
+        for other in others:
+            pair = first.alias("x").join(other.alias("y"), ["h1", "h2"], "full_outer")
+            total = F.coalesce("x.n_docs", F.lit(0)) + F.coalesce("y.n_docs", F.lit(0))
+            fresh = F.coalesce("x.fresh", F.lit(False)) | F.coalesce("y.fresh", F.lit(False))
+            first = pair.select("h1", "h2", total.alias("n_docs"), F.coalesce("x.keeper", "y.keeper").alias("keeper"), fresh.alias("fresh"))
+        return first
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            discard(self.spark.table(name))
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def close(self) -> None:
+        self._drop(self.runs())
+        self.levels = []
 
     def frequent(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """h1, h2, keeper of the keys in at least ``min_docs`` documents."""
-        paths = self.runs()
-        rows = self._read(paths)
-        rows = rows if len(paths) == 1 else self.merged(rows)
-        return rows.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+        return self.merged(self.runs()).filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
 
 
 def batches(keys: DataFrame, n: int = BATCHES) -> list[DataFrame]:
@@ -141,10 +148,15 @@ def dedup(docs: DataFrame, n_batches: int = BATCHES, fanout: int = FANOUT, min_d
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = cut(spark, keys_of(docs), "keys")
     runs = LineRuns(spark, fanout=fanout)
-    for batch in batches(keys, n_batches):
-        runs.add(batch)
+    try:
+        for batch in batches(keys, n_batches):
+            runs.add(batch)
+        # Plainly written: a join with raw keys must be free to split those of a common line.
+        frequent = cut(spark, runs.frequent(min_docs), "frequent")
+    finally:
+        runs.close()
     # Which documents lose which keys; rows of one id and text have one list, no longer than their lines.
-    lost = keys.join(runs.frequent(min_docs), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    lost = keys.join(frequent, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     lost = lost.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("h1", "h2")).alias("_lost"))
     rows = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_id"]) & (F.xxhash64(docs["text"]) == lost["_t"]), "left").withColumn("_lines", lines_of(F.col("text")))
     zipped = F.arrays_zip(F.col("_lines").alias("line"), hashes_of(F.col("_lines")).alias("h"))

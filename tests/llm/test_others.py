@@ -214,6 +214,22 @@ def test_runs_are_levelled(spark, tmp_path):
         runs.add(spark.createDataFrame([(9 - k, 1, 1), (9 - k, 2, k)], "doc_id long, h1 long, h2 long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert [tuple(x) for x in runs.frequent(5).collect()] == [(1, 1, 9)]
+    runs.close()
+
+
+def test_runs_meet_without_a_shuffle(spark, tmp_path):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        runs = line_dedup.LineRuns(spark, str(tmp_path), fanout=4)
+        batch = spark.range(1000).selectExpr("id AS doc_id", "id % 70 AS h1", "id % 30 AS h2")
+        runs.add(batch)
+        runs.add(batch)
+        shuffles = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (runs.merged(runs.runs()), runs.marked(batch))]
+        assert shuffles == [0, 1]  # a batch's own aggregation
+        runs.close()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 # ---- language ----
