@@ -2,7 +2,9 @@
 
 import itertools
 import json
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -235,6 +237,68 @@ def test_runs_meet_without_a_shuffle(spark, tmp_path):
 # ---- language ----
 
 
+def plain_prediction(model, text):
+    """The model's answer, n-gram by n-gram."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    padded, low = f" {text.lower()} ", (1 << 32) - 1
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(padded) - n + 1):
+            h = 0
+            for k in range(n):
+                h = (h ^ ord(padded[i + k])) * int(language.FACTORS[k]) & low
+                h ^= h >> 15
+            feature = (h * 0x27D4EB2F & low) >> 16
+            counts[feature] = counts.get(feature, 0) + 1
+    total = sum(counts.values())
+    z = [float(b) for b in model.bias]
+    for feature, n in counts.items():
+        for k in range(len(z)):
+            z[k] += n / total * language.SCALE * float(model.weights[feature, k])
+    e = [math.exp((x - max(z)) / model.temperature) for x in z]
+    best = e.index(max(e))
+    return model.langs[best], e[best] / sum(e)
+
+
+def test_scores_equal_plain_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = language.train(docs)
+    texts = dict(tuple(r) for r in docs.select("doc_id", "text").collect())
+    got = language.op1_ftrl_language(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        lang, score = plain_prediction(model, texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_training_equals_plain_ftrl():
+    r = np.random.default_rng(5)
+    rows = [(np.sort(r.choice(40, 8, replace=False)).astype(np.uint16), r.random(8), int(r.integers(3))) for _ in range(60)]
+    z, n = {}, {}
+
+    def weight(f, k):
+        s = z.get((f, k), 0.0)
+        return 0.0 if abs(s) <= language.L1 else -(s - math.copysign(language.L1, s)) / ((language.BETA + math.sqrt(n[f, k])) / language.ALPHA + language.L2)
+
+    for epoch in range(language.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(rows)):
+            at, x, y = rows[i]
+            cells = [*((int(f), float(v)) for f, v in zip(at, x, strict=True)), ("bias", 1.0)]
+            score = [sum(v * weight(f, k) for f, v in cells) for k in range(3)]
+            e = [math.exp(s - max(score)) for s in score]
+            steps = [(f, k, v * (e[k] / sum(e) - (k == y)), weight(f, k)) for f, v in cells for k in range(3)]
+            for f, k, g, w in steps:
+                old = n.get((f, k), 0.0)
+                n[f, k] = old + g * g
+                z[f, k] = z.get((f, k), 0.0) + g - (math.sqrt(n[f, k]) - math.sqrt(old)) / language.ALPHA * w
+    weights, bias = language.train_ftrl(rows, 3, np.ones(language.DIM))
+    assert bias == pytest.approx([weight("bias", k) for k in range(3)])
+    assert weights[:40] == pytest.approx(np.array([[weight(f, k) for k in range(3)] for f in range(40)]))
+    assert (weights[:40] == 0).any() and not weights[40:].any()
+
+
 def test_languages_are_told_apart(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = language.train(docs)
