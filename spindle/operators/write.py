@@ -220,9 +220,11 @@ class Writer:
     def _plain(self, table: Table, rows: DataFrame) -> DataFrame:
         return rows.select(*rows.columns[: len(table.columns)]).toDF(*table.schema.names)
 
-    def _parts_of(self, rows: DataFrame) -> list[str]:
-        """Bounded by the table's number of parts."""
-        return [r[0] for r in rows.select(PATH).distinct().collect() if r[0] is not None]
+    @staticmethod
+    def _parts_of(rows: DataFrame) -> tuple[list[str], int]:
+        """The parts that hold the rows (no more than the table has) and the number of rows, in one pass."""
+        found = rows.groupBy(PATH).agg(F.count(F.lit(1))).collect()
+        return [r[0] for r in found if r[0] is not None], sum(r[1] for r in found)
 
     # -- UPDATE --
 
@@ -233,7 +235,7 @@ class Writer:
             new[name] = table.column(name).default if literal is None else literal.value
         rows, test = self._where(table, stmt.where)
         hit = rows.filter(test)
-        parts, n = self._parts_of(hit), hit.count()
+        parts, n = self._parts_of(hit)
         if not n:
             return 0
         for rule in table.checks:
@@ -296,10 +298,11 @@ class Writer:
     def delete(self, stmt: ast.Delete) -> int:
         table = self._own(stmt.table)
         rows, test = self._where(table, stmt.where)
-        n = rows.filter(test).count()
+        own, n = self._parts_of(rows.filter(test))
         if not n:
             return 0
         tagged = {table.name: rows.filter(test).toDF(*table.schema.names, PATH)}
+        first = tagged[table.name]
         # Parents are older than their children, so one pass in order of creation closes the set.
         for name in list(self.store.catalog.tables):
             if name not in tagged:
@@ -317,7 +320,8 @@ class Writer:
         changes = {}
         for name, gone in tagged.items():
             t = self.store.catalog.table(name)
-            parts = self._parts_of(gone)
+            # A cascade may have added rows of the table that the statement names.
+            parts = own if gone is first else self._parts_of(gone)[0]
             affected = self._tagged(t).filter(F.col(PATH).isNull() | F.col(PATH).isin(parts)).drop(PATH)
             changes[name] = (self._without(t, affected, gone), parts)
             self.store.largest.pop(name, None)
