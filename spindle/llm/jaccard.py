@@ -494,7 +494,8 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Join:
     """documents: doc_id, text_key, n, c. links: a, b (classes), similarity; enough of them to
-    connect all that is similar, or all there are. classes: c, rep, component (least doc_id)."""
+    connect all that is similar, or all there are. classes: c, rep, component (least doc_id) and
+    group (the component's number, never null)."""
 
     documents: DataFrame
     links: DataFrame
@@ -523,7 +524,7 @@ def join(docs: DataFrame, block: int = BLOCK, every: bool = False, first_bits: i
     release(spark)
     named = reps.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", "rep", F.coalesce("component", "c").alias("_comp"))
     least = named.groupBy("_comp").agg(F.min("rep").alias("component"))
-    return Join(documents, links, named.join(least, "_comp").select("c", "rep", "component"))
+    return Join(documents, links, named.join(least, "_comp").select("c", "rep", "component", F.col("_comp").alias("group")))
 
 
 def _connecting(spark: SparkSession, source: Source, tiles: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -668,11 +669,11 @@ def _verify(source: Source, pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def clusters(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, class_id, component_id of every row."""
+    """doc_id, text_key, n_shingles, class_id, component_id, group (null for empty sets) of every row."""
     found = join(docs)
     out = found.documents.join(found.classes, "c", "left")
     alone = F.col("n") == 0
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "group")
 
 
 def op10_banded_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -682,9 +683,12 @@ def op10_banded_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the document with the least id stays.
 
-    Rows equal in ``doc_id`` and text stay once.
+    A null id is larger than any other; of rows with one id the least text hash
+    stays. Rows equal in ``doc_id`` and text stay once, those without words too.
     """
-    kept = clusters(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_key").distinct()
+    found = clusters(docs)
+    least = found.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("m"))
+    kept = least.select("m.doc_id", "m.text_key").unionByName(found.filter("n_shingles = 0").select("doc_id", "text_key")).distinct()
     kept = kept.select(F.struct("doc_id", "text_key").alias("kept"))
     rows = docs.select(F.struct("*").alias("row")).withColumn("key", F.struct(F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("text_key")))
     return rows.join(kept, F.col("key").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["key"]).select("row.*")

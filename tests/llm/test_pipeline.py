@@ -31,6 +31,17 @@ def test_stages_take_effect(spark):
     assert last.count() == seen["mixing sources to target weights"].count()
 
 
+def test_one_of_each_group_stays_whatever_its_ids(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone twentytwo twentythree"
+    near = text + " more"
+    rows = [(None, text, 1), (7, near, 2), (7, text, 3), (None, "p " + near, 4), (None, "a b c", 5), (None, "a b c", 6), (None, None, 7), (None, "", 8), (None, None, 9)]
+    lone = [(None, text.upper().replace("E", "x"), 10), (None, near.upper().replace("E", "x"), 11)]
+    docs = spark.createDataFrame(rows + lone, "doc_id long, text string, k int")
+    kept = sorted(r.k for r in jaccard.stage(spark, docs, SF).collect())
+    assert sum(k in (2, 3) for k in kept) == 1 and sum(k in (10, 11) for k in kept) == 1
+    assert sum(k in (5, 6) for k in kept) == 1 and sum(k in (7, 9) for k in kept) == 1 and 8 in kept and not {1, 4} & set(kept)
+
+
 def plain_copies(rows):
     """How often each (doc_id, text, source) stays in the mix; doc_ids are unique."""
     sizes = {d: len((t or "").split()) for d, t, _ in rows}
