@@ -686,9 +686,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null id is larger than any other; of rows with one id the least text hash
     stays. Rows equal in ``doc_id`` and text stay once, those without words too.
     """
-    found = clusters(docs)
-    least = found.filter("n_shingles > 0").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("m"))
-    kept = least.select("m.doc_id", "m.text_key").unionByName(found.filter("n_shingles = 0").select("doc_id", "text_key")).distinct()
+    empty = F.when(F.col("n_shingles") == 0, F.struct("doc_id", "text_key"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("m")
+    kept = clusters(docs).groupBy("group", empty.alias("empty")).agg(least).select("m.doc_id", "m.text_key")
     kept = kept.select(F.struct("doc_id", "text_key").alias("kept"))
     rows = docs.select(F.struct("*").alias("row")).withColumn("key", F.struct(F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("text_key")))
     return rows.join(kept, F.col("key").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["key"]).select("row.*")
