@@ -55,6 +55,8 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 MIN_SCORE = 0.35
 #: Code points handled at once.
 SLICE = 1 << 19
+#: Rows that go back to the JVM at once, with all their columns.
+SENT = 1000
 
 LETTER = regex.compile(r"\p{L}")
 FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))
@@ -302,18 +304,26 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     return Model(langs, (weights * idf[:, None]).astype(np.float32), bias, fit_temperature(logits, truth))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` but its text, with lang_pred and score; the text alone decides."""
+def predict(docs: DataFrame, model: Model, inside: int | None = None) -> DataFrame:
+    """All columns of ``docs`` but its text, with lang_pred and score; the text alone decides.
+
+    inside: the text is this field of the first column, a struct, and stays there;
+    so rows that are to keep their text hand it over once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
-    source = docs.select(*others, F.col("text").cast("string").alias("text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kept = docs.select(*others)
+    source = kept if inside is not None else docs.select(*others, F.col("text").cast("string").alias("text"))
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            columns = [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*others, "lang_pred", "score"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SENT):
+                batch = whole.slice(start, SENT)
+                texts = batch.column(len(others)) if inside is None else batch.column(0).field(inside)
+                found = [shared.value.predict(t.as_py()) for t in texts]
+                columns = [*batch.columns[: len(others)], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*others, "lang_pred", "score"])
 
     return source.mapInArrow(tidy(run), schema)
 
@@ -328,5 +338,7 @@ def op1_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents go that have no language or whose score is below ``MIN_SCORE``."""
     model = train(docs.select("doc_id", "text", "lang"))
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return predict(rows, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
+    row = F.struct("*").alias("row")
+    inside = next((k for k, f in enumerate(docs.schema) if f.name == "text" and isinstance(f.dataType, T.StringType)), None)
+    rows = docs.select(row, "text") if inside is None else docs.select(row)
+    return predict(rows, model, inside).filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")

@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -31,6 +32,26 @@ def test_stages_take_effect(spark):
     assert last.count() == seen["mixing sources to target weights"].count()
 
 
+def test_language_stage_hands_each_text_over_once(spark):
+    docs = table(spark, SF, "documents").select("lang", F.lit("x").alias("lang_pred"), "text", "doc_id")
+    rows = [tuple(r) for r in docs.collect()]
+    docs = spark.createDataFrame(rows * 6, docs.schema).coalesce(1)  # more rows than go back at once
+    out = language.stage(spark, docs, SF)
+    handed = re.findall(r"MapInArrow \w+\(([^)]*)\)", out._jdf.queryExecution().optimizedPlan().toString())
+    assert [re.sub(r"#\d+", "", x) for x in handed] == ["row"]
+    model = language.train(docs.select("doc_id", "text", "lang"))
+    wanted = [r for r in rows if (p := plain_prediction(model, r[2]))[0] != "und" and p[1] >= language.MIN_SCORE] * 6
+    assert len(wanted) > language.SENT and Counter(tuple(r) for r in out.collect()) == Counter(wanted) and out.columns == docs.columns
+
+
+def test_language_stage_reads_texts_of_other_types(spark):
+    rows = [(k, t.encode(), "aa" if k % 2 else "bb") for k, t in enumerate(["lorem ipsum dolor", "zwölf boxkämpfer jagen"] * 8)]
+    docs = spark.createDataFrame([*rows, (99, None, "aa")], "doc_id long, text binary, lang string")
+    model = language.train(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang"))
+    wanted = {k for k, t, _ in rows if model.predict(t.decode())[1] >= language.MIN_SCORE}
+    assert {r.doc_id for r in language.stage(spark, docs.withColumn("text", F.col("text").cast("binary")), SF).collect()} == wanted
+
+
 def test_one_of_each_group_stays_whatever_its_ids(spark):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone twentytwo twentythree"
     near = text + " more"
